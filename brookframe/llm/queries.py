@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, substring
+from . import hilbert, minhash, mixing, packing, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,16 +15,26 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.hilbert_shards(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {
+    "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op9_temperature_mixing": op9_temperature_mixing,
     "op8_substring_dedup": op8_substring_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
