@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, minhash, mixing, packing, substring
+from . import additive, hilbert, minhash, mixing, packing, pivots, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op5_pivot_top_k": op5_pivot_top_k,
+    "op10_additive_quantisation": op10_additive_quantisation,
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op9_temperature_mixing": op9_temperature_mixing,
