@@ -26,6 +26,7 @@ class NearDup:
     kept_minima: int = 128
     slack: float = 0.25  # signature estimates below percent/100 - slack (over six deviations) are not confirmed
     seed: int = 7
+    block: int = 64  # buckets above this size are compared by blocks of members
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
@@ -111,6 +112,56 @@ def _confirmer(p: NearDup):
     return confirm
 
 
+def _blocks(left: DataFrame, texts: DataFrame, scratch: Scratch, p: NearDup) -> DataFrame:
+    """Links between members of large buckets that are in different components: (a, b), enough to connect them.
+
+    Members with the same largest bucket, and of a large component there, form blocks of about p.block. Blocks that
+    share a bucket are compared once as wholes, exactly, so rows are pairs of blocks and not of members.
+    """
+    home = left.groupBy("node", "c").agg(F.max(F.struct("size", "bucket")).alias("m")).select("node", "c", F.col("m.bucket").alias("home"))
+    sizes = home.groupBy("home", "c").agg(F.count(F.lit(1)).alias("n"))
+    kind = sizes.select("home", "c", "n", F.when(F.col("n") >= p.block, F.col("c")).alias("own"))
+    room = kind.groupBy("home", "own").agg(F.ceil(F.sum("n") / p.block).alias("blocks"))
+    placed = home.join(kind.drop("n"), ["home", "c"]).join(room.select(F.col("home").alias("h2"), F.col("own").alias("o2"), "blocks"), (F.col("home") == F.col("h2")) & F.col("own").eqNullSafe(F.col("o2")))
+    placed = scratch.write(placed.select("node", "c", F.xxhash64("home", "own", F.pmod(F.xxhash64("node"), "blocks")).alias("block")), "placed")
+    full = placed.join(texts, "node").groupBy("block").agg(F.collect_list(F.struct("node", "c", "text")).alias("rows"))
+    full = scratch.write(full, "blocks")
+    shared = left.select("bucket", "node").join(placed.select("node", "block"), "node").select("bucket", "block").distinct()
+    x, y = shared.select("bucket", F.col("block").alias("x")), shared.select("bucket", F.col("block").alias("y"))
+    pairs = x.join(y, "bucket").where("x <= y").select("x", "y").distinct()
+    joined = pairs.join(full.select(F.col("block").alias("x"), F.col("rows").alias("left")), "x").join(full.select(F.col("block").alias("y"), F.col("rows").alias("right")), "y")
+    return joined.select("left", "right").mapInArrow(_block_confirmer(p), "a long, b long")
+
+
+def _block_confirmer(p: NearDup):
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                both = {r["node"]: r for r in left + right}
+                if len({r["c"] for r in both.values()}) < 2:
+                    continue
+                group = {n: r["c"] for n, r in both.items()}
+                sets = dict(zip(both, shingle_sets(pa.array([r["text"] for r in both.values()], pa.string()), p.words), strict=True))
+                for x in left:
+                    for y in right:
+                        n, m = x["node"], y["node"]
+                        if group[n] == group[m]:
+                            continue
+                        s, t = sets[n], sets[m]
+                        if 100 * min(len(s), len(t)) < p.percent * max(len(s), len(t)):
+                            continue
+                        shared = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * shared >= p.percent * (len(s) + len(t) - shared):
+                            a.append(n)
+                            b.append(m)
+                            old, new = group[m], group[n]
+                            group = {k: new if v == old else v for k, v in group.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return confirm
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDup = NearDup()) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -121,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are first joined in a class, by hash, so copies never meet each other. Classes that share a band
     bucket are candidates: each is confirmed against its most frequent bucket centre, then against all its centres
     in other components, and at last against every member of its buckets that is still in another component, so
-    that no link between two components goes untested.
+    that no link between two components goes untested; large buckets are compared block by block.
 
     Nulls: a null or empty text, or one without words, has an empty set and links with nothing. A row with a null
     doc_id gets its n_shingles, a null component_id and kept true, and links nothing. Repeated rows and ties: rows of
@@ -169,12 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links, scratch)
     # 3: all members of a bucket that are still elsewhere
     within = labelled(members.select("bucket", "node"), found, "node", "c")
-    mixed = within.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    mixed = within.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
     left = scratch.write(within.join(mixed, "bucket"), "mixed")
-    x, y = left.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")), left.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
+    small = left.where(F.col("size") <= p.block)
+    x, y = small.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")), small.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
     tested = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = x.join(y, "bucket").where("ca < cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
     links = scratch.write(links.union(confirmed(rest)), "links")
+    links = scratch.write(links.union(_blocks(left.where(F.col("size") > p.block), texts, scratch, p)), "links", 8)
     found = connected_components(links, scratch)
 
     of_class = labelled(classes, found, "node", "component_id").select("s1", "s2", "n_shingles", "component_id")

@@ -31,23 +31,35 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: list[tuple[DataFrame, str]] = []
         _OPEN.append(self)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it as read back; the shuffle files behind it may then go."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+    def write(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Write df and return it as read back; the shuffle files behind it may then go.
+
+        batch_rows: rows of an Arrow batch at most, for steps whose rows are large.
+        """
+        path, key = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        schema, usual = df.schema, self.spark.conf.get(key)
+        if batch_rows:
+            self.spark.conf.set(key, str(batch_rows))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, usual)
         del df
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(path)
+        written = self.spark.read.schema(schema).parquet(path)
+        self.paths.append((written, path))
+        return written
 
     def drop(self, *written: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        for df in written:
-            for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for df, path in list(self.paths):
+            if any(df is x for x in written):
                 self._delete(path)
+                self.paths.remove((df, path))
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

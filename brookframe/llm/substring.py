@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,46 +139,39 @@ def _remove(p: Passages, texts: bool):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (h, seg, n, rep): anchors of all batches so far.
+    """Sorted immutable runs of (h, seg, n): how often each anchor occurs in all batches so far. Each run is sorted by h."""
 
-    rep is the smallest (k1, k2, place) with that seg. Runs are tables in one folder, sorted by h.
-    """
-
-    def __init__(self, spark: SparkSession, scratch: Scratch):
-        self.spark, self.scratch, self.runs = spark, scratch, []
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.runs = scratch, []
 
-    @staticmethod
-    def _summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h", "seg").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+    def _run(self, rows: DataFrame) -> DataFrame:
+        return self.scratch.write(rows.groupBy("h", "seg").agg(F.sum("n").alias("n")).sortWithinPartitions("h"), "run")
 
     def append(self, anchors: DataFrame) -> None:
-        """Write a batch as a run, sorted by h."""
-        run = self._summed(anchors.select("h", "seg", F.lit(1).cast("long").alias("n"), F.struct("k1", "k2", "place").alias("rep")))
-        self.runs.append(self.scratch.write(run.sortWithinPartitions("h"), "run"))
+        """Write a batch's anchors as a run."""
+        self.runs.append(self._run(anchors.select("h", "seg", F.lit(1).cast("long").alias("n"))))
 
     def compact(self) -> None:
-        """Merge all runs to one."""
+        """Merge all runs to one; the old ones go."""
         if len(self.runs) > 1:
-            rows = self.runs[0]
-            for run in self.runs[1:]:
+            rows, old = self.runs[0], self.runs
+            for run in old[1:]:
                 rows = rows.union(run)
-            self.runs = [self.scratch.write(self._summed(rows).sortWithinPartitions("h"), "run")]
+            self.runs = [self._run(rows)]
+            self.scratch.drop(*old)
 
     def seen(self, anchors: DataFrame) -> DataFrame:
-        """The anchors (a new batch's, say) whose h some run already holds, by merge join with each run."""
-        keys = [run.select("h") for run in self.runs]
-        if not keys:
-            return anchors.limit(0)
-        held = keys[0]
-        for k in keys[1:]:
-            held = held.union(k)
-        return anchors.join(held.hint("merge"), "h", "left_semi")
+        """The anchors (a new batch's, say) whose h some run already holds, by merge join with the runs."""
+        held = None
+        for run in self.runs:
+            held = run.select("h") if held is None else held.union(run.select("h"))
+        return anchors.limit(0) if held is None else anchors.join(held.hint("merge"), "h", "left_semi")
 
     def repeated(self) -> DataFrame:
-        """(h, seg, n, rep, several) of the anchors that occur twice; several: their h has more than one seg. Compact first."""
+        """(h, seg, n, several) of the anchors whose h occurs twice; several: that h has more than one seg. Compact first."""
         run = self.runs[0]
-        twice = run.groupBy("h").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_segs")).where("_n > 1")
-        return run.join(twice, "h").select("h", "seg", "n", "rep", (F.col("_segs") > 1).alias("several"))
+        twice = run.groupBy("h").agg(F.sum("n").alias("_n"), (F.count(F.lit(1)) > 1).alias("several")).where("_n > 1").drop("_n")
+        return run.hint("merge").join(self.scratch.write(twice, "twice"), "h").select("h", "seg", "n", "several")
 
 
 def find_anchors(docs: DataFrame, text_col: str = "text", p: Passages = Passages()) -> DataFrame:
@@ -190,24 +183,29 @@ def find_anchors(docs: DataFrame, text_col: str = "text", p: Passages = Passages
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str = "text", p: Passages = Passages()) -> DataFrame:
     """(k1, k2, listed): for each distinct text, the places and masks of its windows that start anywhere else too."""
-    spark = docs.sparkSession
     anchors = scratch.write(find_anchors(docs, text_col, p), "anchors")
-    index = FingerprintIndex(spark, scratch)
+    index = FingerprintIndex(scratch)
     for i in range(p.batches):
         index.append(anchors.where(F.pmod("k2", F.lit(p.batches)) == i))
     index.compact()
     repeated = scratch.write(index.repeated(), "repeated")
-    # where a seg has one place only, or its h has other segs, its windows are looked at one by one
-    listed = repeated.where("several").select("h", "seg", "n", "rep.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "h", "seg", "n")).alias("listed"))
+    scratch.drop(*index.runs)
+    # where a seg has one place only, or its h has other segs, its windows are looked at one by one, in one place for each seg
+    places = anchors.join(repeated.where("several").drop("several"), ["h", "seg"]).groupBy("h", "seg", "n").agg(F.min(F.struct("k1", "k2", "place")).alias("at"))
+    listed = scratch.write(places.select("h", "seg", "n", "at.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "h", "seg", "n")).alias("listed")), "listed")
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
-    windows = scratch.write(keyed.join(listed, ["k1", "k2"]).select("text", "listed").mapInArrow(_expand(p), "w long, h long, seg long, which long, n long").distinct(), "windows")
+    windows = scratch.write(keyed.join(listed, ["k1", "k2"]).select("text", "listed").mapInArrow(_expand(p), "w long, h long, seg long, which long, n long"), "windows")
+    # copies of a text list the same anchors; each of their windows has n > 1 already, so counting them again changes nothing
     often = windows.groupBy("w").agg(F.sum("n").alias("_n")).where("_n > 1").select("w")
     masks = windows.join(often, "w", "left_semi").groupBy("h", "seg").agg(F.expr("bit_or(shiftleft(1L, cast(which as int)))").alias("mask"))
     whole = repeated.where("n > 1").select("h", "seg", F.lit(-1).cast("long").alias("mask"))
-    marks = whole.union(masks.join(whole, ["h", "seg"], "left_anti").select("h", "seg", "mask"))
+    marks = scratch.write(whole.union(masks.join(whole, ["h", "seg"], "left_anti").select("h", "seg", "mask")), "marks")
+    scratch.drop(windows, listed, repeated)
     found = anchors.join(marks, ["h", "seg"]).groupBy("k1", "k2", "place").agg(F.bit_or("mask").alias("mask"))
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "mask")).alias("listed"))
+    found = scratch.write(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "mask")).alias("listed")), "found")
+    scratch.drop(anchors, marks)
+    return found
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", p: Passages = Passages(), texts: bool = True) -> DataFrame:
