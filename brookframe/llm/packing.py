@@ -115,9 +115,19 @@ class WordTokens:
         return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
 
 
+_TOKENS: dict[tuple[str, int], WordTokens] = {}
+
+
+def word_tokens(path: str, keep: int) -> WordTokens:
+    """One per Python worker, so that words met by its earlier tasks are known to later ones."""
+    if (path, keep) not in _TOKENS:
+        _TOKENS[path, keep] = WordTokens(path, keep)
+    return _TOKENS[path, keep]
+
+
 def _cutter(p: Packing, path: str, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = WordTokens(path, p.cached_words), TaskContext.get().partitionId()
+        tokens, part = word_tokens(path, p.cached_words), TaskContext.get().partitionId()
         end, seen = np.array([p.end_id], "<u4").tobytes(), np.zeros(p.capacity + 1, np.int64)
         for batch in batches:
             for first, buf, offs in text_slices(batch.column(1)):
