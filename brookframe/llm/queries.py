@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive, hilbert, minhash, mixing, packing, pivots, substring
+from . import additive, hilbert, langid, minhash, mixing, packing, pivots, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +28,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict_languages(docs, langid.fit_languages(docs)).drop("languages")
+
+
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +50,8 @@ def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op7_language_mixture": op7_language_mixture,
     "op5_pivot_top_k": op5_pivot_top_k,
     "op10_additive_quantisation": op10_additive_quantisation,
     "op2_hilbert_sharding": op2_hilbert_sharding,
