@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive, hilbert, langid, minhash, mixing, packing, pivots, quality, substring
+from . import additive, hilbert, langid, minhash, mixing, packing, pivots, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.predict_languages(docs, langid.fit_languages(docs)).drop("languages")
@@ -51,6 +56,7 @@ def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op7_language_mixture": op7_language_mixture,
     "op5_pivot_top_k": op5_pivot_top_k,
     "op10_additive_quantisation": op10_additive_quantisation,
