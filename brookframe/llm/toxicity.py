@@ -8,7 +8,7 @@ A document's score is that of its worst window, calibrated.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,14 @@ class Toxicity:
     threshold: float = 0.3
     window: int = 16
     stride: int = 12
-    word_buckets: int = 1 << 13
-    gram_buckets: int = 1 << 14
+    vocabulary: int = 20_000  # words, and as many n-grams, of the fitting sample: those in most documents
+    least_documents: int = 3  # others have no embedding, as those that are never seen
     gram: int = 4  # bytes
     dim: int = 12
     hidden: int = 8
-    rounds: int = 3  # of choosing the windows that stand for a toxic document
-    epochs: int = 3  # in each round
+    rounds: int = 2  # of choosing the windows that stand for a toxic document
+    epochs: int = 3  # in each round, or as many as make `steps` updates
+    steps: int = 200
     negatives: int = 8  # windows of a clean document, in each round
     rate: float = 0.01
     seed: int = 9
@@ -52,8 +53,8 @@ class Words:
 
     types: np.ndarray
     first: np.ndarray
-    bucket: np.ndarray  # of each type
-    grams: np.ndarray  # of all types in turn
+    bucket: np.ndarray  # of each type its hash, or its number in a vocabulary
+    grams: np.ndarray  # of all types in turn, likewise
     gram_first: np.ndarray
 
 
@@ -85,9 +86,7 @@ def read_words(buf: np.ndarray, offs: np.ndarray, p: Toxicity) -> Words:
         code = code * np.uint64(257) + np.r_[text[i:], np.zeros(i, np.uint64)]
     # a word shorter than an n-gram has none
     fits = np.flatnonzero(room >= p.gram)
-    grams = (mix(code[fits]) % np.uint64(p.gram_buckets)).astype(np.int64)
-    bucket = (mix(word_hashes(low, a, b)) % np.uint64(p.word_buckets)).astype(np.int64)
-    return Words(types, first, bucket, grams, np.searchsorted(fits, begin))
+    return Words(types, first, word_hashes(low, a, b), mix(code[fits]), np.searchsorted(fits, begin))
 
 
 def windows_of(first: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,17 +108,41 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _number(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    if not len(vocabulary):
+        return np.zeros(len(hashes), np.int64)
+    at = np.searchsorted(vocabulary, hashes)
+    return np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == hashes, at, len(vocabulary))
+
+
+def _vocabulary(docs: np.ndarray, hashes: np.ndarray, p: Toxicity) -> np.ndarray:
+    """Sorted hashes that occur in p.least_documents documents or more, the p.vocabulary most frequent of them."""
+    _, number = np.unique(hashes, return_inverse=True)
+    once = np.unique(np.stack([number, docs]), axis=1)[0]
+    count, value = np.bincount(once), np.unique(hashes)
+    keep = np.argsort(-count, kind="stable")[: p.vocabulary]
+    return np.sort(value[keep[count[keep] >= p.least_documents]])
+
+
 class Network:
     """Parameters by name, forward and backward passes."""
 
-    def __init__(self, p: Toxicity):
+    def __init__(self, p: Toxicity, words: np.ndarray, grams: np.ndarray):
+        """words, grams: sorted hashes of the vocabularies; the last row of an embedding is for all others, and zero."""
+        self.words, self.grams = words, grams
         rng, d, h = np.random.default_rng(p.seed), p.dim, p.hidden
         make = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
         self.p = p
-        self.w = {"word": 0.1 * make(p.word_buckets, d) * p.word_buckets**0.5, "gram": 0.1 * make(p.gram_buckets, d) * p.gram_buckets**0.5, "a": make(2 * h, h), "a0": np.zeros(h, np.float32), "v": make(h), "o": make(2 * h), "c": np.zeros((), np.float32)}
+        self.w = {"word": np.zeros((len(words) + 1, d), np.float32), "gram": np.zeros((len(grams) + 1, d), np.float32), "a": make(2 * h, h), "a0": np.zeros(h, np.float32), "v": make(h), "o": make(2 * h), "c": np.zeros((), np.float32)}
+        self.w["word"][:-1] = 0.05 * rng.normal(size=(len(words), d))
+        self.w["gram"][:-1] = 0.05 * rng.normal(size=(len(grams), d))
         for side in "fb":
             self.w |= {f"x{side}": make(d, 3 * h), f"u{side}": make(h, 3 * h), f"b{side}": np.zeros(3 * h, np.float32)}
 
+    def known(self, words: Words) -> Words:
+        """The same with numbers in the vocabularies for hashes."""
+        return replace(words, bucket=_number(words.bucket, self.words), grams=_number(words.grams, self.grams))
+
     def inputs(self, words: Words) -> np.ndarray:
         """One input for each type."""
         n = np.diff(words.gram_first)
@@ -208,8 +231,9 @@ class Network:
             d_inputs += per @ self.w[f"x{side}"].T
         n = np.diff(words.gram_first)
         spread = np.repeat(d_inputs / np.maximum(n, 1)[:, None], n, axis=0)
-        grads["word"] = np.stack([np.bincount(words.bucket, d_inputs[:, j], self.p.word_buckets) for j in range(self.p.dim)], axis=1).astype(np.float32)
-        grads["gram"] = np.stack([np.bincount(words.grams, spread[:, j], self.p.gram_buckets) for j in range(self.p.dim)], axis=1).astype(np.float32)
+        for name, own, part in (("word", words.bucket, d_inputs), ("gram", words.grams, spread)):
+            grads[name] = np.stack([np.bincount(own, part[:, j], len(self.w[name])) for j in range(self.p.dim)], axis=1).astype(np.float32)
+            grads[name][-1] = 0
         return grads
 
 
@@ -236,7 +260,7 @@ class Model:
 
     def worst(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The greatest window logit of each text."""
-        words = read_words(buf, offs, self.net.p)
+        words = self.net.known(read_words(buf, offs, self.net.p))
         at, _, own = windows_of(words.first, self.net.p)
         out = self.net.logits(words, at)
         return np.maximum.reduceat(out, own[:-1]) if len(out) else out
@@ -289,25 +313,30 @@ def train(column: pa.Array, y: np.ndarray, weight: np.ndarray, p: Toxicity) -> M
     """
     rng, aside = np.random.default_rng(p.seed), np.arange(len(y)) % 5 == 4
     _, buf, offs = next(iter(text_slices(column, 1 << 40)))
-    words = read_words(buf, offs, p)
-    at, text, own = windows_of(words.first, p)
-    doc = np.repeat(np.arange(len(y)), np.diff(words.first))
-    n = np.diff(words.gram_first)
-    # documents of either label in which each n-gram occurs
+    raw = read_words(buf, offs, p)
+    at, text, own = windows_of(raw.first, p)
+    doc = np.repeat(np.arange(len(y)), np.diff(raw.first))
+    n = np.diff(raw.gram_first)
+    # the words and the n-grams of each training document
     used = ~aside[doc]
-    pairs = np.unique(np.stack([doc[used], words.types[used]], axis=1), axis=0)
+    pairs = np.unique(np.stack([doc[used], raw.types[used]], axis=1), axis=0)
     each = n[pairs[:, 1]]
     begin = np.r_[0, np.cumsum(each)]
-    grams = words.grams[np.repeat(words.gram_first[:-1][pairs[:, 1]] - begin[:-1], each) + np.arange(begin[-1])]
-    seen = np.unique(np.repeat(pairs[:, 0], each) * p.gram_buckets + grams)
-    label = y[seen // p.gram_buckets]
-    with_one, with_none = (np.bincount(seen[label == v] % p.gram_buckets, minlength=p.gram_buckets) for v in (1, 0))
+    grams = raw.grams[np.repeat(raw.gram_first[:-1][pairs[:, 1]] - begin[:-1], each) + np.arange(begin[-1])]
+    of = np.repeat(pairs[:, 0], each)
+    net = Network(p, _vocabulary(pairs[:, 0], raw.bucket[pairs[:, 1]], p), _vocabulary(of, grams, p))
+    words = net.known(raw)
+    # documents of either label in which each n-gram occurs
+    size = len(net.grams) + 1
+    seen = np.unique(of * size + _number(grams, net.grams))
+    label = y[seen // size]
+    with_one, with_none = (np.bincount(seen[label == v] % size, minlength=size) for v in (1, 0))
     odds = np.log((with_one + 0.5) / (y[~aside].sum() + 1) / ((with_none + 0.5) / ((1 - y[~aside]).sum() + 1)))
+    odds[-1] = -9.0
     best = np.maximum.reduceat(np.r_[odds[words.grams], -9.0], words.gram_first[:-1])
     best[n == 0] = -9.0
     value = np.where(at >= 0, best[words.types[at]], -9.0).max(axis=1)
 
-    net = Network(p)
     adam, learn = _Adam(net), ~aside[text]
     for turn in range(p.rounds):
         top = np.maximum.reduceat(value, own[:-1])
@@ -323,10 +352,11 @@ def train(column: pa.Array, y: np.ndarray, weight: np.ndarray, p: Toxicity) -> M
         target = np.r_[np.ones(len(bad)), np.zeros(len(some) + len(hard))].astype(np.float32)
         share = len(rows) / (2 * max(1, len(bad))), len(rows) / (2 * max(1, len(some) + len(hard)))
         heft = np.where(target > 0, share[0], share[1]).astype(np.float32)
-        for _ in range(p.epochs):
+        batch = 256 if len(rows) > 4096 else 128
+        for _ in range(max(p.epochs, -(-p.steps * batch // len(rows)))):
             order = rng.permutation(len(rows))
-            for i in range(0, len(order), 256):
-                pick = order[i : i + 256]
+            for i in range(0, len(order), batch):
+                pick = order[i : i + batch]
                 part, where, mask = _subset(words, at[rows[pick]])
                 adam.apply(net.gradients(part, where, mask, target[pick], heft[pick]))
         value = net.logits(words, at)
