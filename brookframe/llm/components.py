@@ -16,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than u hangs on the smallest of u and u's neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
     """Rows (node, component) for every node of edges (a, b); component is the smallest node reachable.
 
-    Null ends and loops are ignored, repeated edges count once. Minima are taken by partial aggregates and joined
-    back, so that a node with very many neighbours is never gathered in one task.
+    known: rows (node, component) found before, from which to go on. Null ends and loops are ignored, repeated edges count
+    once. Minima are taken by partial aggregates and joined back, so that a node with very many neighbours is never
+    gathered in one task.
     """
+    if known is not None:
+        edges = edges.select("a", "b").union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.write(ordered, "edges")
     before = None
@@ -39,7 +42,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before = mark
+        before, last = mark, now
         now = scratch.write(_small_star(_large_star(now)), "edges")
+        scratch.drop(last)
     # every component is now a star around its smallest node
     return scratch.write(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct(), "components")

@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links, scratch)
     # 2: all centres that are still elsewhere
     apart = labelled(labelled(stars.join(best, ["a", "b"], "left_anti"), found, "a", "ca"), found, "b", "cb").where("ca <> cb")
-    links = scratch.write(links.union(confirmed(apart)), "links")
-    found = connected_components(links, scratch)
+    more = scratch.write(confirmed(apart), "links")
+    found = connected_components(more, scratch, found)
     # 3: all members of a bucket that are still elsewhere
     within = labelled(members.select("bucket", "node"), found, "node", "c")
     mixed = within.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
@@ -226,9 +226,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x, y = small.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")), small.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
     tested = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = x.join(y, "bucket").where("ca < cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    links = scratch.write(links.union(confirmed(rest)), "links")
-    links = scratch.write(links.union(_blocks(left.where(F.col("size") > p.block), texts, scratch, p)), "links", 8)
-    found = connected_components(links, scratch)
+    more = scratch.write(confirmed(rest), "links")
+    large = left.where(F.col("size") > p.block)
+    if not large.isEmpty():
+        more = more.union(scratch.write(_blocks(large, texts, scratch, p), "links", 8))
+    if not more.isEmpty():
+        found = connected_components(more, scratch, found)
 
     of_class = labelled(classes, found, "node", "component_id").select("s1", "s2", "n_shingles", "component_id")
     # a doc_id with several rows is one node: its least component holds for all of them
