@@ -18,7 +18,7 @@ from .words import LOWER, mix, split_words, text_slices, word_hashes
 class Quality:
     """fit_rows labelled documents of at most fit_chars characters fit the model; no other limit."""
 
-    fit_rows: int = 8000
+    fit_rows: int = 4000
     fit_chars: int = 20_000
     folds: int = 5
     held_out: int = 0
@@ -78,16 +78,16 @@ def index_vectors(p: Quality) -> np.ndarray:
 def context_vectors(ids: np.ndarray, first: np.ndarray, index: np.ndarray, reach: int) -> np.ndarray:
     """Random indexing: each bucket's own index vector plus the mean of the index vectors of its neighbours in all places."""
     sums, seen = np.zeros_like(index), np.bincount(ids, minlength=len(index))
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
     for step in range(1, reach + 1):
         inside = doc[step:] == doc[:-step]
         left, right = ids[:-step][inside], ids[step:][inside]
         for own, other in ((left, right), (right, left)):
-            order = np.argsort(own, kind="stable")
-            count = np.bincount(own, minlength=len(index))
-            some = count > 0
-            for at in range(0, index.shape[1], 8):
-                sums[some, at : at + 8] += np.add.reduceat(index[other[order], at : at + 8], (np.cumsum(count) - count)[some]) if len(own) else 0
+            for i in range(0, len(own), 1 << 18):  # in blocks, to bound memory
+                some = own[i : i + (1 << 18)]
+                order = np.argsort(some, kind="stable")
+                kinds, at = np.unique(some[order], return_index=True)
+                sums[kinds] += np.add.reduceat(index[other[i : i + (1 << 18)][order]], at)
     out = index + sums / np.maximum(seen, 1)[:, None]
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
@@ -176,8 +176,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, p: Quality = Quality()) -> M
     a, b, n = [], [], []
     for _, buf, offs in text_slices(column):
         i, j, first = word_ids(buf, offs, p.buckets)
-        a.append(i)
-        b.append(j)
+        a.append(i.astype(np.int32))
+        b.append(j.astype(np.int32))
         n.append(np.diff(first))
     first = np.r_[0, np.cumsum(np.concatenate(n))]
     index = index_vectors(p)

@@ -23,7 +23,7 @@ from .words import LOWER, mix, split_words, text_slices, word_hashes
 class Toxicity:
     """fit_rows labelled documents of at most fit_chars characters fit the model; no other limit."""
 
-    fit_rows: int = 4000
+    fit_rows: int = 3000
     fit_chars: int = 20_000
     folds: int = 4
     held_out: int = 2
@@ -35,7 +35,7 @@ class Toxicity:
     gram: int = 4  # bytes
     dim: int = 12
     hidden: int = 8
-    rounds: int = 2  # of choosing the windows that stand for a toxic document
+    rounds: int = 3  # of choosing the windows that stand for a toxic document
     epochs: int = 3  # in each round, or as many as make `steps` updates
     steps: int = 200
     negatives: int = 8  # windows of a clean document, in each round
@@ -115,15 +115,29 @@ def _number(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == hashes, at, len(vocabulary))
 
 
-def _vocabulary(docs: np.ndarray, hashes: np.ndarray, p: Toxicity) -> np.ndarray:
-    """Sorted hashes that occur in p.least_documents documents or more, the p.vocabulary most frequent of them."""
-    _, number = np.unique(hashes, return_inverse=True)
-    once = np.unique(np.stack([number, docs]), axis=1)[0]
-    count, value = np.bincount(once), np.unique(hashes)
+def _vocabulary(each: list[np.ndarray], p: Toxicity) -> np.ndarray:
+    """Sorted hashes that p.least_documents documents or more have, the p.vocabulary most frequent of them. each: a document's distinct hashes."""
+    value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
     keep = np.argsort(-count, kind="stable")[: p.vocabulary]
     return np.sort(value[keep[count[keep] >= p.least_documents]])
 
 
+def _grams_of(words: Words, types: np.ndarray) -> np.ndarray:
+    """The n-grams of some types, in turn."""
+    n = np.diff(words.gram_first)[types]
+    begin = np.r_[0, np.cumsum(n)]
+    return words.grams[np.repeat(words.gram_first[:-1][types] - begin[:-1], n) + np.arange(begin[-1])]
+
+
+def _joined(parts: list[Words]) -> Words:
+    """Words of several runs of texts as one run; a type may then occur once for each."""
+    shift = lambda name: np.cumsum([0, *(len(getattr(w, name)) for w in parts)]).tolist()
+    types = np.concatenate([w.types + i for w, i in zip(parts, shift("bucket"), strict=False)])
+    ends = [np.r_[w.first[1:]] + i for w, i in zip(parts, shift("types"), strict=False)]
+    grams = [w.gram_first[1:] + i for w, i in zip(parts, shift("grams"), strict=False)]
+    return Words(types, np.r_[0, np.concatenate(ends)], np.concatenate([w.bucket for w in parts]), np.concatenate([w.grams for w in parts]), np.r_[0, np.concatenate(grams)])
+
+
 class Network:
     """Parameters by name, forward and backward passes."""
 
@@ -300,9 +314,7 @@ def _subset(words: Words, at: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray
     kinds, rows = np.unique(np.where(at >= 0, words.types[at], -1), return_inverse=True)
     kinds = np.maximum(kinds, 0)
     n = np.diff(words.gram_first)[kinds]
-    begin = np.r_[0, np.cumsum(n)]
-    grams = words.grams[np.repeat(words.gram_first[:-1][kinds] - begin[:-1], n) + np.arange(begin[-1])]
-    return Words(np.zeros(0, np.int64), np.zeros(1, np.int64), words.bucket[kinds], grams, begin), rows.reshape(at.shape), mask
+    return Words(np.zeros(0, np.int64), np.zeros(1, np.int64), words.bucket[kinds], _grams_of(words, kinds), np.r_[0, np.cumsum(n)]), rows.reshape(at.shape), mask
 
 
 def train(column: pa.Array, y: np.ndarray, weight: np.ndarray, p: Toxicity) -> Model:
@@ -312,25 +324,19 @@ def train(column: pa.Array, y: np.ndarray, weight: np.ndarray, p: Toxicity) -> M
     windows and the worst ones. Every fifth document is kept for calibration.
     """
     rng, aside = np.random.default_rng(p.seed), np.arange(len(y)) % 5 == 4
-    _, buf, offs = next(iter(text_slices(column, 1 << 40)))
-    raw = read_words(buf, offs, p)
+    raw = _joined([read_words(buf, offs, p) for _, buf, offs in text_slices(column, 1 << 20)])
     at, text, own = windows_of(raw.first, p)
-    doc = np.repeat(np.arange(len(y)), np.diff(raw.first))
     n = np.diff(raw.gram_first)
-    # the words and the n-grams of each training document
-    used = ~aside[doc]
-    pairs = np.unique(np.stack([doc[used], raw.types[used]], axis=1), axis=0)
-    each = n[pairs[:, 1]]
-    begin = np.r_[0, np.cumsum(each)]
-    grams = raw.grams[np.repeat(raw.gram_first[:-1][pairs[:, 1]] - begin[:-1], each) + np.arange(begin[-1])]
-    of = np.repeat(pairs[:, 0], each)
-    net = Network(p, _vocabulary(pairs[:, 0], raw.bucket[pairs[:, 1]], p), _vocabulary(of, grams, p))
+    # the distinct words and n-grams of each training document
+    kinds = [np.unique(raw.types[a:b]) for a, b, no in zip(raw.first[:-1].tolist(), raw.first[1:].tolist(), aside.tolist(), strict=True) if not no]
+    grams = [np.unique(_grams_of(raw, k)) for k in kinds]
+    net = Network(p, _vocabulary([np.unique(raw.bucket[k]) for k in kinds], p), _vocabulary(grams, p))
     words = net.known(raw)
-    # documents of either label in which each n-gram occurs
-    size = len(net.grams) + 1
-    seen = np.unique(of * size + _number(grams, net.grams))
-    label = y[seen // size]
-    with_one, with_none = (np.bincount(seen[label == v] % size, minlength=size) for v in (1, 0))
+    # how many documents of either label have each n-gram
+    with_one, with_none = np.zeros(len(net.grams) + 1), np.zeros(len(net.grams) + 1)
+    for g, label in zip(grams, y[~aside], strict=True):
+        (with_one if label else with_none)[np.unique(_number(g, net.grams))] += 1
+    del raw, kinds, grams
     odds = np.log((with_one + 0.5) / (y[~aside].sum() + 1) / ((with_none + 0.5) / ((1 - y[~aside]).sum() + 1)))
     odds[-1] = -9.0
     best = np.maximum.reduceat(np.r_[odds[words.grams], -9.0], words.gram_first[:-1])
