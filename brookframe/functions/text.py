@@ -65,7 +65,11 @@ def constant(matches: Column, score: float) -> Column:
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the rows with any query word. Only query words leave the rows; two small sums give the statistics."""
     words = sorted(set(_words(query)))
-    row = df.select(F.col(id_col), tokens(F.col(text_col)).alias("_t")).select(id_col, F.array_size("_t").alias("_n"), *[F.array_size(F.filter("_t", lambda t, w=w: t == w)).alias(f"_{i}") for i, w in enumerate(words)])
+
+    def times(word: str) -> Column:
+        return F.array_size(F.filter("_t", lambda t: t == word))
+
+    row = df.select(F.col(id_col), tokens(F.col(text_col)).alias("_t")).select(id_col, F.array_size("_t").alias("_n"), *[times(w).alias(f"_{i}") for i, w in enumerate(words)])
     totals = row.agg(F.count(F.lit(1)).alias("docs"), F.avg("_n").alias("mean"), *[F.count(F.when(F.col(f"_{i}") > 0, 1)).alias(f"d{i}") for i in range(len(words))])
     joined = row.where(F.greatest(*[F.col(f"_{i}") for i in range(len(words))], F.lit(0)) > 0).crossJoin(F.broadcast(totals))  # one row
     score = F.lit(0.0)

@@ -57,16 +57,16 @@ class Pipeline:
         return self._to(stage(self.df))
 
     def match(self, spec: dict | Column) -> Pipeline:
-        return self._to(self.df.where(document_filter(spec)))
+        return self._to(self.df.where(spec if isinstance(spec, Column) else document_filter(spec)))
 
     def project(self, spec: dict[str, Any]) -> Pipeline:
         """{field: 1} keeps, {field: 0} leaves out, anything else computes. `_id` stays unless it is 0."""
-        out = {k for k, v in spec.items() if v == 0 and isinstance(v, int)}
+        out = {k for k, v in spec.items() if isinstance(v, int) and v == 0}
         rest = {k: v for k, v in spec.items() if k not in out}
         if not rest:
             return self._to(self.df.drop(*out))
         names = ["_id"] if "_id" in self.df.columns and "_id" not in spec else []
-        chosen = [F.col(k) if v is True or (isinstance(v, int) and v == 1) else value(v).alias(k) for k, v in rest.items()]
+        chosen = [F.col(k) if isinstance(v, int) and v == 1 else value(v).alias(k) for k, v in rest.items()]
         return self._to(self.df.select(*names, *chosen))
 
     def sort(self, spec: dict[str, int]) -> Pipeline:
