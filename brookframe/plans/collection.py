@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from ..functions.sql import Functions
 from ..operators import mutate
 from .select import Order
 
+_NUMBERS = count()
 _AGGREGATES = {"count": lambda c: F.count(F.lit(1)), "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
@@ -44,7 +46,7 @@ class RelationFilter:
 
     def _related(self, predicate: Any, negate: bool = False) -> DataFrame:
         child = self.c.db.collection(self.r.to)
-        rows = child.base()
+        rows = child.base().alias(child.alias)
         if predicate is not None:
             found = child._predicate(predicate)
             rows = rows.where(~found if negate else found)
@@ -53,7 +55,8 @@ class RelationFilter:
             keys = rows.select(*[F.col(t).alias(f"_t{i}") for i, (_, t) in enumerate(self.r.target_on)])
             on = [F.col(j) == F.col(f"_t{i}") for i, (j, _) in enumerate(self.r.target_on)]
             rows = junction.join(keys, reduce(lambda a, b: a & b, on), "left_semi")
-        return rows.where(reduce(lambda a, b: a & b, [F.col(t) == F.col(local).outer() for local, t in self.r.on]))
+        # by alias: a bare name of an outer column would be looked for in the subquery first
+        return rows.where(reduce(lambda a, b: a & b, [F.col(t) == F.col(f"{self.c.alias}.{local}").outer() for local, t in self.r.on]))
 
     def some(self, predicate: Any = None) -> Column:
         return self._related(predicate).exists()
@@ -81,6 +84,7 @@ class Collection:
     unique: tuple[str, ...] = ()
     after: dict[str, Any] | None = None
     of_variant: str | None = None
+    alias: str = field(default_factory=lambda: f"_c{next(_NUMBERS)}")
 
     # the rows
     def base(self) -> DataFrame:
@@ -164,7 +168,7 @@ class Collection:
         return [o.on(F.col(o.column)) for o in self.orders]
 
     def _filtered(self) -> DataFrame:
-        df = self.base()
+        df = self.base().alias(self.alias)
         for p in self.filters:
             df = df.where(p)
         return df.where(self._after()) if self.after else df

@@ -106,10 +106,12 @@ class Pipeline:
             kind = grouped.schema[as_].dataType
             found = self.df.drop(as_).join(grouped, F.col(local) == F.col(key), "left").drop(key)
             return self._to(found.withColumn(as_, F.coalesce(as_, empty.cast(kind))), False)
-        outer = {k: F.col(v.lstrip("$")).outer() for k, v in (let or {}).items()}
+        # names that source does not have: an outer column is looked for there first
+        bound = {f"_let_{k}": value(v) for k, v in (let or {}).items()}
+        outer = {k.removeprefix("_let_"): F.col(k).outer() for k in bound}
         inner = pipeline(Pipeline(source), **outer).df
-        listed = inner.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(as_))
-        return self._to(self.df.drop(as_).lateralJoin(listed, how="left"), False)
+        listed = inner.select(F.array_sort(F.collect_list(F.struct("*"))).alias(as_))  # agg would resolve the outer columns too early
+        return self._to(self.df.withColumns(bound).drop(as_).lateralJoin(listed, how="left").drop(*bound), False)
 
     def unwind(self, path: str, preserve: bool = False, index: str | None = None) -> Pipeline:
         """A row for each element; preserve keeps rows with a null or empty array, with null."""
