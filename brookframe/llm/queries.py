@@ -67,4 +67,29 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = _WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+_PLAIN = _WORDS.format(text="coalesce(text, '')")
+
+#: SQL has no way to train or apply the models of 1, 6 and 7, the curve of 2, the tokens of 3, the permutations of 9 or the
+#: approximate index of 10; tests/llm hold these against brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_LOWER} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM s), n AS (SELECT doc_id, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op5_pivot_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op8_substring_dedup": f"""WITH w AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+d AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM x SEMI JOIN d USING (h))),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w),
+k AS (SELECT u.doc_id, count(c.j) AS gone, sha256(coalesce(string_agg(word, ' ' ORDER BY u.j) FILTER (c.j IS NULL), '')) AS h FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.j = u.j GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, coalesce(h, sha256('')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+}
