@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, lean
 from .words import LOWER, mix, split_words, text_slices, window_hashes, word_hashes
 
 
@@ -130,7 +130,7 @@ def _blocks(left: DataFrame, texts: DataFrame, scratch: Scratch, p: NearDup) ->
     x, y = shared.select("bucket", F.col("block").alias("x")), shared.select("bucket", F.col("block").alias("y"))
     pairs = x.join(y, "bucket").where("x <= y").select("x", "y").distinct()
     joined = pairs.join(full.select(F.col("block").alias("x"), F.col("rows").alias("left")), "x").join(full.select(F.col("block").alias("y"), F.col("rows").alias("right")), "y")
-    return joined.select("left", "right").mapInArrow(_block_confirmer(p), "a long, b long")
+    return joined.select("left", "right").mapInArrow(lean(_block_confirmer(p)), "a long, b long")
 
 
 def _block_confirmer(p: NearDup):
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.write(rows.mapInArrow(_signer(p), _SIGNED), "signed")
+    signed = scratch.write(rows.mapInArrow(lean(_signer(p)), _SIGNED), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.write(real.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     chosen = classes.select(F.col("node").alias("doc_id"), "s1", "s2")
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("sig").alias("sig_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("sig").alias("sig_b"))
-        return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirmer(p), "a long, b long")
+        return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(lean(_confirmer(p)), "a long, b long")
 
     def labelled(df: DataFrame, of: DataFrame, at: str, name: str) -> DataFrame:
         return df.join(of.select(F.col("node").alias(at), F.col("component").alias("_found")), at, "left").withColumn(name, F.coalesce("_found", at)).drop("_found")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, lean
 from .words import SPACE, text_slices
 
 
@@ -89,7 +89,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    counted = scratch.write(plain.mapInArrow(_count_words, "doc_id long, source string, words long"), "words")
+    counted = scratch.write(plain.mapInArrow(lean(_count_words), "doc_id long, source string, words long"), "words")
     known = counted.where("doc_id is not null")
     totals = known.groupBy("source").agg(F.sum("words").alias("total")).limit(m.max_sources + 1).collect()
     if len(totals) > m.max_sources:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, lean
 from .words import text_slices
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -34,7 +34,7 @@ class Packing:
     capacity: int = 2048
     end_id: int = 0
     tokenizer: str = "word_bpe_49k.json"  # a name known to public_tokenizers, or a path
-    cached_words: int = 800_000
+    cached_words: int = 400_000
     rounds: int = 24
     eta: float = 0.5
     share: float = 0.05  # of a filling's scarcest length, in one round
@@ -291,7 +291,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Pac
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, piece int, part int, nth long" + ", ids binary" * with_ids
-    pieces = scratch.write(rows.mapInArrow(_cutter(p, tokenizer_path(p.tokenizer), with_ids), schema), "pieces")
+    pieces = scratch.write(rows.mapInArrow(lean(_cutter(p, tokenizer_path(p.tokenizer), with_ids)), schema), "pieces")
     # ranks of equal lengths: those of earlier partitions come first; a row for each length and partition
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")

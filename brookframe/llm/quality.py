@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import in_fold, labelled_texts
+from .scratch import lean, release, small_batches
 from .words import LOWER, mix, split_words, text_slices, word_hashes
 
 
@@ -18,7 +19,7 @@ from .words import LOWER, mix, split_words, text_slices, word_hashes
 class Quality:
     """fit_rows labelled documents of at most fit_chars characters fit the model; no other limit."""
 
-    fit_rows: int = 4000
+    fit_rows: int = 2000
     fit_chars: int = 20_000
     folds: int = 5
     held_out: int = 0
@@ -83,11 +84,11 @@ def context_vectors(ids: np.ndarray, first: np.ndarray, index: np.ndarray, reach
         inside = doc[step:] == doc[:-step]
         left, right = ids[:-step][inside], ids[step:][inside]
         for own, other in ((left, right), (right, left)):
-            for i in range(0, len(own), 1 << 18):  # in blocks, to bound memory
-                some = own[i : i + (1 << 18)]
+            for i in range(0, len(own), 1 << 16):  # in blocks, to bound memory
+                some = own[i : i + (1 << 16)]
                 order = np.argsort(some, kind="stable")
                 kinds, at = np.unique(some[order], return_index=True)
-                sums[kinds] += np.add.reduceat(index[other[i : i + (1 << 18)][order]], at)
+                sums[kinds] += np.add.reduceat(index[other[i : i + (1 << 16)][order]], at)
     out = index + sums / np.maximum(seen, 1)[:, None]
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
@@ -174,7 +175,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, p: Quality = Quality()) -> M
     weight /= weight.mean()
     column = pa.array([r[1] for r in rows], pa.string())
     a, b, n = [], [], []
-    for _, buf, offs in text_slices(column):
+    for _, buf, offs in text_slices(column, 1 << 19):
         i, j, first = word_ids(buf, offs, p.buckets)
         a.append(i.astype(np.int32))
         b.append(j.astype(np.int32))
@@ -182,11 +183,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, p: Quality = Quality()) -> M
     first = np.r_[0, np.cumsum(np.concatenate(n))]
     index = index_vectors(p)
     model = Model(p, context_vectors(np.concatenate(a), first, index, p.reach), context_vectors(np.concatenate(b), first, index, p.reach))
-    x = np.concatenate([model.features(buf, offs) for _, buf, offs in text_slices(column)])
+    x = np.concatenate([model.features(buf, offs) for _, buf, offs in text_slices(column, 1 << 19)])
     aside = np.arange(len(y)) % 5 == 4
     _train(model, x[~aside], y[~aside], weight[~aside])
     if len(set(y[aside].tolist())) == 2:
         model.temperature = fit_temperature(model.logits(x[aside]), y[aside], weight[aside])
+    del rows, column, a, b, index, x
+    release()
     return model
 
 
@@ -205,7 +208,8 @@ def score_quality(docs: DataFrame, model: Model | None, p: Quality = Quality(),
             s = model.scores(batch.column(2)) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= p.threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model | None, p: Quality = Quality(), text_col: str = "text") -> DataFrame:
@@ -218,4 +222,5 @@ def keep_good(docs: DataFrame, model: Model | None, p: Quality = Quality(), text
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at)) >= p.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run), docs.schema)

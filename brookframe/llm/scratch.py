@@ -7,12 +7,17 @@ a column of hashes be read many times without being computed again.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch at most; texts are long, so Spark's usual 10,000 would fill a worker's memory.
+BATCH_ROWS = 1000
+
 _OPEN: list["Scratch"] = []
 
 
@@ -25,6 +30,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session to BATCH_ROWS, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Give freed memory back to the system; arrays that are gone otherwise still count for the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def lean(step):
+    """A step for mapInArrow that releases memory when its task ends; Python workers live longer than tasks."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            release()
+
+    return run
+
+
 class Scratch:
     """A folder of written tables that belong to one run of an operator."""
 
@@ -32,6 +66,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[tuple[DataFrame, str]] = []
+        small_batches(spark)
         _OPEN.append(self)
 
     def write(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
@@ -48,7 +83,7 @@ class Scratch:
         finally:
             self.spark.conf.set(key, usual)
         del df
-        gc.collect()
+        release()
         self.spark.sparkContext._jvm.System.gc()
         written = self.spark.read.schema(schema).parquet(path)
         self.paths.append((written, path))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch
+from .scratch import Scratch, lean
 from .words import SPACE, split_words, text_slices, window_hashes, word_hashes
 
 
@@ -178,7 +178,7 @@ def find_anchors(docs: DataFrame, text_col: str = "text", p: Passages = Passages
     """(k1, k2, h, seg, place) of every anchor of every text; k1 and k2, two hashes of the text, stand for the text."""
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
-    return keyed.mapInArrow(_find_anchors(p), "k1 long, k2 long, h long, seg long, place long")
+    return keyed.mapInArrow(lean(_find_anchors(p)), "k1 long, k2 long, h long, seg long, place long")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str = "text", p: Passages = Passages()) -> DataFrame:
@@ -195,7 +195,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str = "text",
     listed = scratch.write(places.select("h", "seg", "n", "at.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "h", "seg", "n")).alias("listed")), "listed")
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
-    windows = scratch.write(keyed.join(listed, ["k1", "k2"]).select("text", "listed").mapInArrow(_expand(p), "w long, h long, seg long, which long, n long"), "windows")
+    windows = scratch.write(keyed.join(listed, ["k1", "k2"]).select("text", "listed").mapInArrow(lean(_expand(p)), "w long, h long, seg long, which long, n long"), "windows")
     # copies of a text list the same anchors; each of their windows has n > 1 already, so counting them again changes nothing
     often = windows.groupBy("w").agg(F.sum("n").alias("_n")).where("_n > 1").select("w")
     masks = windows.join(often, "w", "left_semi").groupBy("h", "seg").agg(F.expr("bit_or(shiftleft(1L, cast(which as int)))").alias("mask"))
@@ -228,6 +228,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", p: Passages = Passag
     own = docs.select(F.struct(*others).alias("row"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     joined = own.join(found, ["k1", "k2"], "left").select("row", "text", "listed")
     fields = T.StructType([own.schema["row"], *[T.StructField("text", T.StringType())] * texts, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept_text", T.StringType())] * texts])
-    out = joined.mapInArrow(_remove(p, texts), fields)
+    out = joined.mapInArrow(lean(_remove(p, texts)), fields)
     back = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in keep if texts or c != text_col]
     return out.select(*back, *_ADDED[: 3 + texts])

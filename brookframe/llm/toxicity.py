@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import in_fold, labelled_texts
+from .scratch import lean, small_batches
 from .words import LOWER, mix, split_words, text_slices, word_hashes
 
 
@@ -400,4 +401,5 @@ def score_toxicity(docs: DataFrame, model: Model | None, p: Toxicity = Toxicity(
             s = model.scores(batch.column(2)) if model else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= p.threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
