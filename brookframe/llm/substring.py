@@ -191,7 +191,8 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, text_col: str = "text",
     repeated = scratch.write(index.repeated(), "repeated")
     scratch.drop(*index.runs)
     # where a seg has one place only, or its h has other segs, its windows are looked at one by one, in one place for each seg
-    places = anchors.join(repeated.where("several").drop("several"), ["h", "seg"]).groupBy("h", "seg", "n").agg(F.min(F.struct("k1", "k2", "place")).alias("at"))
+    # (the least place of each anchor is taken before the join, by a partial aggregate: one anchor may occur very often)
+    places = anchors.groupBy("h", "seg").agg(F.min(F.struct("k1", "k2", "place")).alias("at")).join(repeated.where("several").drop("several"), ["h", "seg"])
     listed = scratch.write(places.select("h", "seg", "n", "at.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "h", "seg", "n")).alias("listed")), "listed")
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
