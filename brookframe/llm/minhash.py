@@ -100,7 +100,7 @@ def _confirmer(p: NearDup):
             good = np.zeros(n, bool)
             if n:
                 sa, sb = batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist()
-                near = [np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) / p.kept_minima >= least_share for x, y in zip(sa, sb, strict=True)]
+                near = [x is None or y is None or np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) / p.kept_minima >= least_share for x, y in zip(sa, sb, strict=True)]
                 rows = np.flatnonzero(near)
                 left = shingle_sets(batch.column("text_a").take(pa.array(rows)), p.words)
                 right = shingle_sets(batch.column("text_b").take(pa.array(rows)), p.words)
@@ -175,8 +175,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that no link between two components goes untested; large buckets are compared block by block.
 
     Nulls: a null or empty text, or one without words, has an empty set and links with nothing. A row with a null
-    doc_id gets its n_shingles, a null component_id and kept true, and links nothing. Repeated rows and ties: rows of
-    one doc_id are one node; they all get the same component. Other columns of docs, whatever their names, are not
+    doc_id gets its n_shingles, a null component_id and kept true, and links nothing. Repeated rows get equal answers; rows of
+    one doc_id with different texts are judged each by its text, and may be linked through the id. Other columns of docs, whatever their names, are not
     read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -197,9 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
     wanted = signed.select("doc_id", "s1", "sig", "n_shingles").where("n_shingles > 0").join(candidates, "doc_id", "left_semi")
-    texts = scratch.write(
-        rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").join(wanted.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id").select(F.col("doc_id").alias("node"), "text", "sig"), "texts"
-    )
+    # an id with different texts has no signature: its pairs go straight to confirmation
+    signatures = wanted.groupBy("doc_id").agg(F.when(F.min("s1") == F.max("s1"), F.first("sig")).alias("sig"))
+    texts = scratch.write(rows.join(signatures, "doc_id").select(F.col("doc_id").alias("node"), "text", "sig"), "texts")
     stars = scratch.write(members.where("node <> centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "stars")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -229,12 +229,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = scratch.write(confirmed(rest), "links")
     large = left.where(F.col("size") > p.block)
     if not large.isEmpty():
-        more = more.union(scratch.write(_blocks(large, texts, scratch, p), "links", 8))
+        more = more.union(scratch.write(_blocks(large, texts, scratch, p), "links", 2))
     if not more.isEmpty():
         found = connected_components(more, scratch, found)
 
     of_class = labelled(classes, found, "node", "component_id").select("s1", "s2", "n_shingles", "component_id")
-    # a doc_id with several rows is one node: its least component holds for all of them
     grouped = signed.select("doc_id", "s1", "s2", "n_shingles").join(of_class, ["s1", "s2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return grouped.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

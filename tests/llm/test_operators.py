@@ -444,3 +444,10 @@ def test_mixture_odd_rows(odd, none):
     assert collections.Counter(r.doc_id for r in rows if r.epoch == 0) == {i: 1 for i in (1, 2, 3, None, 5, 6, 7, 8, 9)}
     assert next(r.words for r in rows if r.doc_id == 3) == 4 and mixing.mixture(none).count() == 0
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(odd).count() >= 10
+
+
+def test_near_duplicates_shared_ids(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "end"])), (2, "something else that is not at all near the first one"), (3, " ".join(["x", *words]))], "doc_id long, text string")
+    rows = minhash.near_duplicates(docs).collect()
+    assert {r.component_id for r in rows if r.n_shingles > 30} == {1} and len(rows) == 4
