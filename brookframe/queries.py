@@ -363,11 +363,11 @@ def doc_fill_locf(t: Tables) -> DataFrame:
 @query("""WITH x AS (SELECT o_custkey AS c, CAST(o_orderkey AS DOUBLE) AS k, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders),
 y AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS y0, last_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER p AS x0, first_value(v IGNORE NULLS) OVER q AS y1, first_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER q AS x1 FROM x
 WINDOW p AS (PARTITION BY c ORDER BY k ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY c ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT o_orderkey, round(coalesce(v, y0 + (y1 - y0) * (k - x0) / (x1 - x0)), 3) AS v FROM y""")
+SELECT o_orderkey, round(coalesce(v, y0 + (y1 - y0) * (k - x0) / (x1 - x0)) + 1e-7, 3) AS v FROM y""")
 def doc_fill_linear(t: Tables) -> DataFrame:
     holes = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
     q = t.docs("orders").add_fields(v=holes).fill({"v": "linear"}, {"o_orderkey": 1}, ["o_custkey"])
-    return q.project({"o_orderkey": 1, "v": F.round("v", 3)}).build()
+    return q.project({"o_orderkey": 1, "v": F.round(F.col("v") + 1e-7, 3)}).build()
 
 
 @query("""SELECT n_name AS name, 'nation' AS kind, n_regionkey AS region FROM nation UNION ALL SELECT r_name, 'region', NULL FROM region""")
