@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .vectors import best_of, matrix, query_blocks, union_all, valid_vectors
+from .vectors import best_of, in_groups, matrix, query_blocks, union_all, valid_vectors
 
 
 @dataclass(frozen=True)
 class Additive:
     """books codebooks of `entries` full-dimensional vectors are fitted on `sample` rows; every row is encoded.
 
-    rerank: candidates of a query that a task scores exactly, for each batch of up to 10,000 rows it reads.
+    rerank: candidates of a query that a task scores exactly, for each 10,000 rows or so that it reads.
     """
 
     books: int = 16
@@ -87,9 +87,7 @@ def _search(ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rer
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_groups(batches):
             x, own, norm = matrix(batch.column("v")), batch.column("vec_id").to_numpy(), batch.column("norm").to_numpy()
             codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(own), -1)
             for i in range(len(ids)):
@@ -114,7 +112,7 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     Queries are the rows whose id is divisible by `every`, candidates all rows but those of the query's own id. Vectors
     are sums of one entry from each codebook; a task scores its rows by lookup tables and stored norms, and measures
-    the p.rerank best of each batch exactly. Ties go to the smaller vec_id.
+    the p.rerank best of each 10,000 exactly. Ties go to the smaller vec_id.
 
     Vectors that are null or zero, hold null, NaN or infinite components, have a null id, or are not of the commonest
     length, take no part. Repeated rows are candidates each. Fewer than k candidates: all are returned. An empty table

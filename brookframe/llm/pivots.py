@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .vectors import best_of, matrix, query_blocks, union_all, valid_vectors
+from .vectors import best_of, in_groups, matrix, query_blocks, union_all, valid_vectors
 
 
 @dataclass(frozen=True)
@@ -55,9 +55,7 @@ def _search(ids: np.ndarray, queries: np.ndarray, table: np.ndarray, k: int, chu
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]  # each query's best so far: scores, vec_ids
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_groups(batches):
             x, own, of = matrix(batch.column("v")), batch.column("vec_id").to_numpy(), matrix(batch.column("table"))
             half = (x**2).sum(axis=1) / 2
             for i in range(len(ids)):

@@ -31,6 +31,19 @@ def query_blocks(rows: DataFrame, every: int, most: int) -> Iterator[tuple[np.nd
             yield np.array([r.vec_id for r in own], np.int64), np.array([r.v for r in own], float)
 
 
+def in_groups(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in batches of about `rows`, whatever the session's Arrow batches are; empty ones are left out."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """The rows of a list column of equal lengths."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
