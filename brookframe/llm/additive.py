@@ -18,7 +18,8 @@ from .vectors import best_of, in_groups, matrix, query_blocks, union_all, valid_
 class Additive:
     """books codebooks of `entries` full-dimensional vectors are fitted on `sample` rows; every row is encoded.
 
-    rerank: candidates of a query that a task scores exactly, for each 10,000 rows or so that it reads.
+    rerank: candidates of a query that a task scores exactly at first, for each 10,000 entries or so that it reads; then it
+    scores all others whose stored error leaves it open whether they are nearer than the k-th of these.
     """
 
     books: int = 16
@@ -69,15 +70,34 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
     return codes[:, 0].astype(np.uint8)
 
 
-def _encoder(books: np.ndarray, beam: int):
+def _equal_as_one(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of equal vectors: the first row of each, where its ids start (and the end of all), and the ids in turn.
+
+    An entry keeps its 2k smallest ids, and k times at most any of them: k stay when one id, a query's own, is left out.
+    """
+    whole = np.ascontiguousarray(x + 0.0)  # no negative zeros
+    _, shown, entry = np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((ids, entry))
+    entry, ids = entry[order], ids[order]
+    for most, new in ((k, (np.diff(entry) != 0) | (np.diff(ids) != 0)), (2 * k, None)):
+        first = np.flatnonzero(np.r_[True, np.diff(entry) != 0 if new is None else new])
+        keep = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)])) < most
+        entry, ids = entry[keep], ids[keep]
+    return shown, np.searchsorted(entry, np.arange(len(shown) + 1)), ids
+
+
+def _encoder(books: np.ndarray, beam: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column("v")).astype(np.float32)
+        for batch in in_groups(batches):
+            whole = matrix(batch.column("v"))
+            shown, first, ids = _equal_as_one(whole, batch.column("vec_id").to_numpy(), k)
+            whole = whole[shown]
+            x = whole.astype(np.float32)
             codes = np.concatenate([encode(x[i : i + 512], books, beam) for i in range(0, len(x), 512)])
             near = sum(books[b][codes[:, b]] for b in range(len(books)))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near**2).sum(axis=1).astype(float))], ["vec_id", "v", "codes", "norm"])
+            error = np.sqrt(((whole - near) ** 2).sum(axis=1))
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([lists, batch.column("v").take(pa.array(shown)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near.astype(float) ** 2).sum(axis=1)), pa.array(error)], ["vec_ids", "v", "codes", "norm", "error"])
 
     return run
 
@@ -88,19 +108,38 @@ def _search(ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rer
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for batch in in_groups(batches):
-            x, own, norm = matrix(batch.column("v")), batch.column("vec_id").to_numpy(), batch.column("norm").to_numpy()
-            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(own), -1)
+            x, norm, error = matrix(batch.column("v")), batch.column("norm").to_numpy(), batch.column("error").to_numpy()
+            own, count = batch.column("vec_ids").flatten().to_numpy(), batch.column("vec_ids").value_lengths().to_numpy()
+            first, entry = np.cumsum(count) - count, np.repeat(np.arange(len(count)), count)
+            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
+
+            def exact(near: np.ndarray, query: np.ndarray, query_id: int) -> tuple[np.ndarray, np.ndarray]:
+                """Ids and distances of the rows of some entries, without the query's own id."""
+                n = count[near]
+                rows = np.repeat(first[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                far = np.repeat(np.sqrt(((x[near] - query) ** 2).sum(axis=1)), n)
+                other = own[rows] != query_id
+                return own[rows][other], far[other]
+
             for i in range(len(ids)):
-                score = norm.copy()
+                square = norm + (queries[i] ** 2).sum()
+                slack = 1e-5 * square  # single precision of the tables
                 for b in range(codes.shape[1]):
-                    score -= 2 * lookup[i, b][codes[:, b]]
-                score[own == ids[i]] = np.inf
-                n = min(rerank, len(score))
-                near = np.argpartition(score, n - 1)[:n]
-                near = near[own[near] != ids[i]]
-                exact = np.sqrt(((x[near] - queries[i]) ** 2).sum(axis=1))
-                best = np.lexsort((own[near], exact))[:k]
-                out.append((np.full(len(best), ids[i]), own[near][best], exact[best]))
+                    square -= 2 * lookup[i, b][codes[:, b]]
+                mine = entry[own == ids[i]]
+                alone = mine[np.bincount(mine, minlength=len(count))[mine] == count[mine]]
+                square[alone] = np.inf
+                n = min(rerank, len(square))
+                near = np.argpartition(square, n - 1)[:n]
+                found, far = exact(near, queries[i], ids[i])
+                # a vector is no nearer than its sum less its error: of the others, all that can reach the k-th best so far
+                reach = np.partition(far, k - 1)[k - 1] if len(far) >= k else np.inf
+                more = square - slack <= (reach + error) ** 2
+                more[near] = more[alone] = False
+                if more.any():
+                    found, far = (np.concatenate(c) for c in zip((found, far), exact(np.flatnonzero(more), queries[i], ids[i]), strict=True))
+                best = np.lexsort((found, far))[:k]
+                out.append((np.full(len(best), ids[i]), found[best], far[best]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
@@ -111,8 +150,9 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     """Each query's k nearest found by Euclidean distance: query_id, rank, vec_id, score (that distance, in doubles).
 
     Queries are the rows whose id is divisible by `every`, candidates all rows but those of the query's own id. Vectors
-    are sums of one entry from each codebook; a task scores its rows by lookup tables and stored norms, and measures
-    the p.rerank best of each 10,000 exactly. Ties go to the smaller vec_id.
+    are sums of one entry from each codebook; a task scores its rows by lookup tables and stored norms, measures the
+    p.rerank best of each 10,000 exactly, and then every other that by the stored error of its sum may be among the k
+    nearest. Equal vectors that a task reads together are one entry. Ties go to the smaller vec_id.
 
     Vectors that are null or zero, hold null, NaN or infinite components, have a null id, or are not of the commonest
     length, take no part. Repeated rows are candidates each. Fewer than k candidates: all are returned. An empty table
@@ -126,7 +166,7 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     if not sample:
         return empty
     books = fit_codebooks(np.array([r.v for r in sample]), p)
-    index = scratch.write(rows.mapInArrow(_encoder(books, p.beam), "vec_id long, v array<double>, codes binary, norm double"), "index")
+    index = scratch.write(rows.mapInArrow(_encoder(books, p.beam, k), "vec_ids array<long>, v array<double>, codes binary, norm double, error double"), "index")
     parts = []
     for ids, queries in query_blocks(rows, every, p.block):
         parts.append(scratch.write(index.mapInArrow(_search(ids, queries, books, k, p.rerank), "query_id long, vec_id long, score double"), "found"))

@@ -277,6 +277,24 @@ def test_nearest_neighbours_recall(spark):
     assert additive.nearest_neighbours(vectors(spark).limit(0)).count() == 0 and additive.nearest_neighbours(vectors(spark).where("vec_id < 4")).count() == 3
 
 
+def test_nearest_neighbours_of_copies(spark):
+    rng = np.random.default_rng(4)
+    copy, near = rng.normal(size=(2, 16))
+    x = np.concatenate([rng.normal(size=(2000, 16)), np.tile(copy, (1500, 1)), near + 1e-4 * rng.normal(size=(1500, 16))])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(0, copy.tolist())] * 30, "vec_id long, embedding array<double>").coalesce(1)
+    x, ids = np.concatenate([x, np.tile(copy, (30, 1))]), np.r_[ids, [0] * 30]
+    got = collections.defaultdict(list)
+    for r in additive.nearest_neighbours(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = total = 0
+    for q in range(100, len(x) - 30, 100):
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        best = [int(ids[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        hits, total = hits + sum(a == b for a, b in zip(got[q], best, strict=True)), total + 10
+    assert hits == total == 490
+
+
 def test_beam_search_is_not_worse_than_greedy():
     x = np.random.default_rng(0).normal(size=(600, 16)).astype(np.float32)
     books = additive.fit_codebooks(x, additive.Additive(books=4, entries=32))
