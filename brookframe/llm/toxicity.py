@@ -30,7 +30,7 @@ class Toxicity:
     held_out: int = 2
     threshold: float = 0.3
     window: int = 16
-    stride: int = 12
+    stride: int = 1
     vocabulary: int = 20_000  # words, and as many n-grams, of the fitting sample: those in most documents
     least_documents: int = 3  # others have no embedding, as those that are never seen
     gram: int = 4  # bytes
@@ -90,8 +90,8 @@ def read_words(buf: np.ndarray, offs: np.ndarray, p: Toxicity) -> Words:
     return Words(types, first, word_hashes(low, a, b), mix(code[fits]), np.searchsorted(fits, begin))
 
 
-def windows_of(first: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping windows of all texts: word numbers (n x window, -1 beyond the text), the text of each, and each text's first window.
+def window_starts(first: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first word of each window, its text, and each text's first window.
 
     Windows start every p.stride words until one reaches the end of the text; a text without words has one empty window.
     """
@@ -99,10 +99,20 @@ def windows_of(first: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray,
     count = np.maximum(1, -(-(n - p.window) // p.stride) + 1)
     text = np.repeat(np.arange(len(n)), count)
     own = np.r_[0, np.cumsum(count)]
-    start = first[:-1][text] + (np.arange(own[-1]) - own[:-1][text]) * p.stride
+    return first[:-1][text] + (np.arange(own[-1]) - own[:-1][text]) * p.stride, text, own
+
+
+def window_words(start: np.ndarray, end: np.ndarray, p: Toxicity) -> np.ndarray:
+    """Word numbers of windows (n x window), -1 beyond the end of the text."""
     words = start[:, None] + np.arange(p.window)
-    words[words >= first[1:][text][:, None]] = -1
-    return words, text, own
+    words[words >= end[:, None]] = -1
+    return words
+
+
+def windows_of(first: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all texts: word numbers, the text of each, and each text's first window."""
+    start, text, own = window_starts(first, p)
+    return window_words(start, first[1:][text], p), text, own
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -217,11 +227,61 @@ class Network:
         pooled = np.einsum("tn,tnh->nh", weight, both)
         return pooled @ self.w["o"] + self.w["c"], (sides, both, hidden, weight, pooled)
 
-    def logits(self, words: Words, at: np.ndarray) -> np.ndarray:
-        """Of all windows, in blocks; word number -1 is beyond the text."""
+    def logits(self, words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of windows given by their first words and the ends of their texts."""
         projected = self.project(np.r_[self.inputs(words), np.zeros((1, self.p.dim), np.float32)])
-        types = np.r_[words.types, len(words.bucket)]
-        return np.concatenate([np.zeros(0, np.float32), *(self.forward(projected, types[part], (part >= 0).astype(np.float32))[0] for part in (at[i : i + 2048] for i in range(0, len(at), 2048)))])
+        types, out = np.r_[words.types, len(words.bucket)], np.zeros(len(start), np.float32)
+        whole = start + self.p.window <= end
+        if whole.any():
+            out[whole] = self._whole(projected, words.types)[start[whole]]
+        short = np.flatnonzero(~whole)
+        for i in range(0, len(short), 2048):
+            at = window_words(start[short[i : i + 2048]], end[short[i : i + 2048]], self.p)
+            out[short[i : i + 2048]] = self.forward(projected, types[at], (at >= 0).astype(np.float32))[0]
+        return out
+
+    def _whole(self, projected: dict[str, np.ndarray], types: np.ndarray) -> np.ndarray:
+        """forward() of the window of p.window words at each word: neighbours are slices of one array, words last."""
+        h, steps, w = self.p.hidden, self.p.window, self.w
+        # gates are 1 / (1 + exp(-x)), and tanh(x) is 2 / (1 + exp(-2x)) - 1, which is faster; exp may overflow to infinity
+        sign = np.r_[-np.ones(2 * h, np.float32), np.full(h, -2, np.float32)]
+        tables = {side: projected[side] * sign for side in "fb"}
+        inner = {side: np.ascontiguousarray((w[f"u{side}"] * sign).T) for side in "fb"}
+        outer = np.ascontiguousarray(-2 * w["a"].T)
+
+        def squash(x: np.ndarray) -> np.ndarray:
+            np.exp(x, out=x)
+            x += 1
+            return np.reciprocal(x, out=x)
+
+        def block(near: np.ndarray) -> np.ndarray:
+            n = len(near) - steps + 1
+            both = np.empty((2 * h, steps, n), np.float32)
+            for side, rows in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
+                x, state = np.ascontiguousarray(tables[side][near].T), np.zeros((h, n), np.float32)
+                for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+                    hu, at = inner[side] @ state, x[:, t : t + n]
+                    gates = squash(at[: 2 * h] + hu[: 2 * h])
+                    new = gates[h:] * hu[2 * h :]
+                    new += at[2 * h :]
+                    new = squash(new)
+                    new *= 2
+                    new -= 1
+                    state = state - new
+                    state *= gates[:h]
+                    state += new
+                    both[rows, t] = state
+            flat = both.reshape(2 * h, -1)
+            hidden = outer @ flat
+            hidden -= 2 * w["a0"][:, None]
+            # the -1 of each tanh adds the same to all energies of a window
+            energy = (2 * w["v"] @ squash(hidden)).reshape(steps, n)
+            weight = np.exp(energy - energy.max(axis=0))
+            return (weight * (w["o"] @ flat).reshape(steps, n)).sum(axis=0) / weight.sum(axis=0) + w["c"]
+
+        count = len(types) - steps + 1
+        with np.errstate(over="ignore"):
+            return np.concatenate([np.zeros(0, np.float32), *(block(types[i : min(i + 1024, count) + steps - 1]) for i in range(0, count, 1024))])
 
     def gradients(self, words: Words, rows: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
         inputs = self.inputs(words)
@@ -276,8 +336,8 @@ class Model:
     def worst(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The greatest window logit of each text."""
         words = self.net.known(read_words(buf, offs, self.net.p))
-        at, _, own = windows_of(words.first, self.net.p)
-        out = self.net.logits(words, at)
+        start, text, own = window_starts(words.first, self.net.p)
+        out = self.net.logits(words, start, words.first[1:][text])
         return np.maximum.reduceat(out, own[:-1]) if len(out) else out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -326,7 +386,8 @@ def train(column: pa.Array, y: np.ndarray, weight: np.ndarray, p: Toxicity) -> M
     """
     rng, aside = np.random.default_rng(p.seed), np.arange(len(y)) % 5 == 4
     raw = _joined([read_words(buf, offs, p) for _, buf, offs in text_slices(column, 1 << 20)])
-    at, text, own = windows_of(raw.first, p)
+    start, text, own = window_starts(raw.first, p)
+    end = raw.first[1:][text]
     n = np.diff(raw.gram_first)
     # the distinct words and n-grams of each training document
     kinds = [np.unique(raw.types[a:b]) for a, b, no in zip(raw.first[:-1].tolist(), raw.first[1:].tolist(), aside.tolist(), strict=True) if not no]
@@ -342,7 +403,10 @@ def train(column: pa.Array, y: np.ndarray, weight: np.ndarray, p: Toxicity) -> M
     odds[-1] = -9.0
     best = np.maximum.reduceat(np.r_[odds[words.grams], -9.0], words.gram_first[:-1])
     best[n == 0] = -9.0
-    value = np.where(at >= 0, best[words.types[at]], -9.0).max(axis=1)
+    value = np.full(len(start), -9.0)
+    for i in range(p.window):
+        inside = np.flatnonzero(start + i < end)
+        value[inside] = np.maximum(value[inside], best[words.types[start[inside] + i]])
 
     adam, learn = _Adam(net), ~aside[text]
     for turn in range(p.rounds):
@@ -364,9 +428,9 @@ def train(column: pa.Array, y: np.ndarray, weight: np.ndarray, p: Toxicity) -> M
             order = rng.permutation(len(rows))
             for i in range(0, len(order), batch):
                 pick = order[i : i + batch]
-                part, where, mask = _subset(words, at[rows[pick]])
+                part, where, mask = _subset(words, window_words(start[rows[pick]], end[rows[pick]], p))
                 adam.apply(net.gradients(part, where, mask, target[pick], heft[pick]))
-        value = net.logits(words, at)
+        value = net.logits(words, start, end)
     model = Model(net)
     z = np.maximum.reduceat(value, own[:-1]).astype(float)
     if len(set(y[aside].tolist())) == 2:
@@ -389,7 +453,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -
 def score_toxicity(docs: DataFrame, model: Model | None, p: Toxicity = Toxicity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
-    All overlapping windows of the whole text are scored; score is the calibrated probability of label 1 of the worst,
+    The windows at every word (every p.stride words) of the whole text are scored; score is the calibrated probability of label 1 of the worst,
     predicted is 1 from p.threshold on. A null or empty text, or one without words, is one empty window and scored as such.
     Without a model (no labels, or one label only) every score is 0. A null doc_id is not held out. Repeated rows get equal
     scores. An empty table gives an empty result; other columns are not read.

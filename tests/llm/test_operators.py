@@ -323,6 +323,27 @@ def test_toxicity_held_out():
     assert (score[label == 1][:, None] > score[label == 0]).mean() > 0.95
 
 
+def test_toxicity_scores_every_offset():
+    rng, p = np.random.default_rng(5), toxicity.Toxicity(steps=20)
+    passage = [f"vile{c}" for c in "abcdefghijklmnop"]
+    plain = lambda n: [f"word{i}" for i in rng.integers(0, 200, n)]
+    made = [" ".join([*plain(30), *(passage if i % 2 else []), *plain(30)]) for i in range(120)]
+    y = np.array([i % 2 for i in range(120)], float)
+    model = toxicity.train(pa.array(made), y, np.ones(len(y)), p)
+    _, buf, offs = next(iter(toxicity.text_slices(pa.array([" ".join(passage)]))))
+    alone = model.worst(buf, offs)[0]
+    before, after = plain(40), plain(40)
+    for place in range(40):
+        text = " ".join([*before[:place], *passage, *after, ""])
+        _, buf, offs = next(iter(toxicity.text_slices(pa.array([text, "short one", ""]))))
+        words = model.net.known(toxicity.read_words(buf, offs, p))
+        at, _, own = toxicity.windows_of(words.first, p)
+        rows, mask = np.r_[words.types, len(words.bucket)][at], (at >= 0).astype(np.float32)
+        each = model.net.forward(model.net.project(np.r_[model.net.inputs(words), np.zeros((1, p.dim), np.float32)]), rows, mask)[0]
+        got = model.worst(buf, offs)
+        assert got[0] >= alone - 1e-4 and np.allclose(got, np.maximum.reduceat(each, own[:-1]), atol=1e-4) and (np.diff(own) == [place + 41, 1, 1]).all()
+
+
 def test_toxicity_gradients():
     p = toxicity.Toxicity(dim=3, hidden=2, window=4, stride=3)
     _, buf, offs = next(iter(toxicity.text_slices(pa.array(["aa bb cc dd ee", "b dd aa", ""]))))
