@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import bounded_sample, in_fold
-from .scratch import lean, small_batches
+from .scratch import lean
 from .words import LOWER, text_slices
 
 
@@ -159,5 +159,4 @@ def predict_languages(docs: DataFrame, model: Model | None, p: LangId = LangId()
             sets = pa.array([[{"lang": x, "share": y} for x, y in f] for f in found], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0][0] if f else "und" for f in found], pa.string()), pa.array([min(1.0, f[0][1]) if f else 0.0 for f in found], pa.float64()), sets], ["doc_id", "held_out", "lang_pred", "score", "languages"])
 
-    small_batches(docs.sparkSession)
     return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, languages array<struct<lang: string, share: double>>")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import in_fold, labelled_texts
-from .scratch import lean, release, small_batches
+from .scratch import lean, release
 from .words import LOWER, mix, split_words, text_slices, word_hashes
 
 
@@ -208,7 +208,6 @@ def score_quality(docs: DataFrame, model: Model | None, p: Quality = Quality(),
             s = model.scores(batch.column(2)) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= p.threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    small_batches(docs.sparkSession)
     return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -222,5 +221,4 @@ def keep_good(docs: DataFrame, model: Model | None, p: Quality = Quality(), text
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at)) >= p.threshold))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(lean(run), docs.schema)

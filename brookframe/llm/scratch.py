@@ -11,32 +11,29 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch at most; texts are long, so Spark's usual 10,000 would fill a worker's memory.
+#: Rows of an Arrow batch at most while a table is written (Spark bounds a batch by 64 MB too).
 BATCH_ROWS = 1000
 
 _OPEN: list["Scratch"] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder of our own only where it is unset (tests, local mode)."""
+    """The session's spark.checkpoint.dir; a temporary folder of our own only in local mode, where it is unset (as in tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="brookframe-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the session to BATCH_ROWS, if they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def release() -> None:
     """Give freed memory back to the system; arrays that are gone otherwise still count for the process."""
     gc.collect()
@@ -59,6 +56,11 @@ def lean(step):
     return run
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """A folder of written tables that belong to one run of an operator."""
 
@@ -66,43 +68,52 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[tuple[DataFrame, str]] = []
-        small_batches(spark)
         _OPEN.append(self)
 
-    def write(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, batch_rows: int = BATCH_ROWS, path: str | None = None) -> DataFrame:
         """Write df and return it as read back; the shuffle files behind it may then go.
 
-        batch_rows: rows of an Arrow batch at most, for steps whose rows are large.
+        batch_rows: rows of an Arrow batch at most meanwhile. path: a folder that stays, instead of one of the scratch's own.
         """
-        path, key = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         schema, usual = df.schema, self.spark.conf.get(key)
-        if batch_rows:
+        to = path or f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        if not 0 < int(usual) <= batch_rows:
             self.spark.conf.set(key, str(batch_rows))
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").parquet(to)
         finally:
             self.spark.conf.set(key, usual)
         del df
         release()
         self.spark.sparkContext._jvm.System.gc()
-        written = self.spark.read.schema(schema).parquet(path)
-        self.paths.append((written, path))
+        written = self.spark.read.schema(schema).parquet(to)
+        if not path:
+            self.paths.append((written, to))
         return written
 
     def drop(self, *written: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df, path in list(self.paths):
             if any(df is x for x in written):
-                self._delete(path)
+                delete(self.spark, path)
                 self.paths.remove((df, path))
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
     def close(self) -> None:
-        self._delete(self.root)
+        delete(self.spark, self.root)
+        self.paths = []
+
+
+@contextmanager
+def disposable() -> Iterator[None]:
+    """Delete, at the end of the block, the tables of all operators called in it; their results must have been written by then."""
+    before = list(_OPEN)
+    try:
+        yield
+    finally:
+        for s in [s for s in _OPEN if s not in before]:
+            s.close()
+            _OPEN.remove(s)
 
 
 @atexit.register

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import in_fold, labelled_texts
-from .scratch import lean, small_batches
+from .scratch import lean
 from .words import LOWER, mix, split_words, text_slices, word_hashes
 
 
@@ -72,7 +72,7 @@ def read_words(buf: np.ndarray, offs: np.ndarray, p: Toxicity) -> Words:
     some = (nxt < ends) & (last > starts) & _LETTER[buf[last - 1]]
     a, b = np.where(some, nxt, starts), np.where(some, last, ends)
     low = LOWER[buf]
-    _, shown, types = np.unique(word_hashes(low, a, b), return_index=True, return_inverse=True)
+    hashes, shown, types = np.unique(word_hashes(low, a, b), return_index=True, return_inverse=True)
     a, b = a[shown], b[shown]
     # the letters of all types, one after another, each with a mark before and after
     size = b - a + 2
@@ -87,7 +87,7 @@ def read_words(buf: np.ndarray, offs: np.ndarray, p: Toxicity) -> Words:
         code = code * np.uint64(257) + np.r_[text[i:], np.zeros(i, np.uint64)]
     # a word shorter than an n-gram has none
     fits = np.flatnonzero(room >= p.gram)
-    return Words(types, first, word_hashes(low, a, b), mix(code[fits]), np.searchsorted(fits, begin))
+    return Words(types, first, hashes, mix(code[fits]), np.searchsorted(fits, begin))
 
 
 def window_starts(first: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -465,5 +465,4 @@ def score_toxicity(docs: DataFrame, model: Model | None, p: Toxicity = Toxicity(
             s = model.scores(batch.column(2)) if model else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= p.threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    small_batches(docs.sparkSession)
     return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")

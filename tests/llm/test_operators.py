@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brookframe.llm import additive, hilbert, langid, minhash, mixing, packing, pivots, quality, queries, substring, toxicity
+from brookframe.llm import additive, hilbert, langid, minhash, mixing, packing, pivots, quality, queries, substring, toxicity, words
 from brookframe.llm.components import connected_components
 from brookframe.llm.scratch import Scratch
 
@@ -434,16 +434,31 @@ def test_passages_odd_rows(odd, none):
 
 
 def test_fingerprint_index(spark):
-    scratch, p = Scratch(spark, "test"), substring.Passages(window=6, gram=3)
+    scratch, p = Scratch(spark, "test"), substring.Passages(window=6, gram=3, tier=2)
     make = lambda *ts: substring.find_anchors(spark.createDataFrame([(t,) for t in ts], "text string"), p=p)
-    index = substring.FingerprintIndex(scratch)
-    assert index.seen(make("a b c d e f g")).count() == 0
-    index.append(make("a b c d e f g h i"))
-    index.append(make("k l m n o p q r"))
-    assert index.seen(make("x a b c d e f g h i y")).count() > 0 and index.seen(make("z1 z2 z3 z4 z5 z6 z7")).count() == 0
-    before = index.runs[0].union(index.runs[1]).agg(F.sum("n")).first()[0]
-    index.compact()
-    assert len(index.runs) == 1 and index.runs[0].agg(F.sum("n")).first()[0] == before and index.repeated().count() == 0
+    index = substring.FingerprintIndex(scratch, p=p)
+    assert index.add(make("a b c d e f g h i")).count() == 0 and len(index.runs) == 1
+    met = index.add(make("x a b c d e f g h i y", "k l m n o p q r"))
+    assert met.count() > 0 and met.agg(F.max("n")).first()[0] == 2
+    # two runs of level 0 have become one of level 1, which holds both batches
+    assert [n.split("-")[1] for n in index.names] == ["1"]
+    assert index.runs[0].agg(F.sum("n")).first()[0] == make("a b c d e f g h i", "x a b c d e f g h i y", "k l m n o p q r").count()
+    assert index.add(make("z1 z2 z3 z4 z5 z6 z7")).count() == 0
+
+
+def test_passages_of_a_second_call(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(50)]
+    made = lambda k: [(k + i, " ".join([*(f"u{k + i}_{j}" for j in range(int(rng.integers(0, 30)))), *passage[int(rng.integers(0, 9)) : int(rng.integers(40, 50))], f"t{k + i}"])) for i in range(6)]
+    first, second = made(0), made(100)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    p, path = substring.Passages(window=9, gram=4, tier=3), str(tmp_path / "index")
+    substring.remove_repeats(frame(first), p=p, index=substring.FingerprintIndex(Scratch(spark, "test"), path, p)).count()
+    again = substring.FingerprintIndex(Scratch(spark, "test"), path, p)  # opened anew
+    assert len(again.names) == 2
+    rows = substring.remove_repeats(frame(second), p=p, index=again, history=frame(first)).collect()
+    want = removed(first + second, 9)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == {i: want[i] for i, _ in second} and any(r.n_removed for r in rows)
 
 
 # 9
@@ -490,3 +505,32 @@ def test_near_duplicates_shared_ids(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "end"])), (2, "something else that is not at all near the first one"), (3, " ".join(["x", *words]))], "doc_id long, text string")
     rows = minhash.near_duplicates(docs).collect()
     assert {r.component_id for r in rows if r.n_shingles > 30} == {1} and len(rows) == 4
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    a, b = thue_morse(10)
+    docs = spark.createDataFrame([(1, f"p q {a} r s"), (2, f"p q {b} r s")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2}
+    side = [f"w{i}" for i in range(20)]
+    own = [(i, " ".join([*side, x, *side])) for i, x in ((1, a), (2, b))]
+    rows = substring.remove_repeats(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == removed(own, 35) and all(r.n_removed == 0 for r in rows)
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_exact_sets(monkeypatch, broken):
+    if broken:  # every word and window hashes alike: only the comparison of words is left
+        monkeypatch.setattr(words, "word_hashes", lambda buf, a, b: np.zeros(len(a), np.uint64))
+        monkeypatch.setattr(words, "window_hashes", lambda w, a, b: np.zeros(len(a), np.uint64))
+    own = ["a b c d e f", "A b C d e f g", "", None, "x y", "X\tY", "a b c d e f a b c d e f", "one"]
+    sets = words.exact_sets(pa.array(own), 5)
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in own)]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    assert all(len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j]) for i in range(8) for j in range(8))
