@@ -16,7 +16,8 @@ from .vectors import best_of, in_groups, matrix, query_blocks, union_all, valid_
 
 @dataclass(frozen=True)
 class Additive:
-    """books codebooks of `entries` full-dimensional vectors are fitted on `sample` rows; every row is encoded.
+    """books codebooks of `entries` full-dimensional vectors (a quarter of the sample, if it has fewer than four times as many)
+    are fitted on `sample` rows; every row is encoded.
 
     rerank: candidates of a query that a task scores exactly at first, for each 10,000 entries or so that it reads; then it
     scores all others whose stored error leaves it open whether they are nearer than the k-th of these.
@@ -103,10 +104,8 @@ def _encoder(books: np.ndarray, beam: int, k: int):
 
 
 def _search(ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int):
-    lookup = np.einsum("bnd,qd->qbn", books, queries.astype(np.float32))
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        out, lookup = [], np.einsum("bnd,qd->qbn", books, queries.astype(np.float32))
         for batch in in_groups(batches):
             x, norm, error = matrix(batch.column("v")), batch.column("norm").to_numpy(), batch.column("error").to_numpy()
             own, count = batch.column("vec_ids").flatten().to_numpy(), batch.column("vec_ids").value_lengths().to_numpy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,27 +11,33 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % folds == fold, F.lit(False))
 
 
-def bounded_sample(labels: DataFrame, key: str, value: str, rows: int, values: int = 64) -> list[tuple]:
-    """About rows/(number of values) pairs (key, value) of each value at most, chosen by hash of the key; value is never null."""
-    known = labels.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value)
-    counts = known.groupBy(value).count().limit(values + 1).collect()
-    if len(counts) > values:
-        raise ValueError(f"more than {values} different labels")
-    if not counts:
+def bounded_sample(known: DataFrame, rows: int) -> list[tuple]:
+    """(key, value) of known, the same number of each value as far as it has them: `rows` in all, and one of each value at least.
+
+    known: (key, value, fits), a row for each key; only keys that fit are chosen, by hash of the key. Each task keeps its own
+    first ones, so a value with very many keys is not gathered.
+    """
+    key, value = known.columns[:2]
+    fitting = known.where(F.col(key).isNotNull() & F.col(value).isNotNull() & F.col("fits")).select(key, value)
+    values = fitting.select(value).distinct().count()
+    if not values:
         return []
-    most, scale = rows / len(counts), 1 << 20
-    keep = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(int(min(1.0, most / r[1]) * scale)))])
-    return [tuple(r) for r in known.where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(scale)) < keep[F.col(value)]).collect()]
+    nth = F.row_number().over(Window.partitionBy(value).orderBy(F.xxhash64(F.lit("fit"), key), key))
+    return [tuple(r) for r in fitting.withColumn("_nth", nth).where(F.col("_nth") <= max(1, rows // values)).drop("_nth").collect()]
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
-    """(id, text, label) of about `rows` labelled documents outside the held-out fold, in order of id: as many of either label.
+    """(id, text, label) of `rows` labelled documents (or fewer) outside the held-out fold, in order of id: as many of either label.
 
-    Only texts of at most `chars` characters are used for fitting, so that the sample's size is bounded.
+    Only texts of at most `chars` characters are used for fitting, so that the sample's size is bounded. An id with several
+    labels has the smallest; of an id with several texts all that fit are used.
     """
-    chosen = dict(bounded_sample(labels.where(~in_fold("doc_id", folds, held_out)), "doc_id", label, rows))
+    own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    known = labels.where(~in_fold("doc_id", folds, held_out) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).alias("_label"))
+    sizes = own.where("_id is not null and _text is not null").groupBy("_id").agg((F.min(F.length("_text")) <= chars).alias("fits"))
+    chosen = dict(bounded_sample(known.join(sizes, "_id"), rows))
     if not chosen:
         return []
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long"))  # `rows` ids or so
-    found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where(F.length("_text") <= chars).join(ids, "_id")
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long"))  # `rows` ids at most
+    found = own.where(F.length("_text") <= chars).join(ids, "_id")
     return sorted({(r._id, r._text, int(chosen[r._id])) for r in found.collect()})

@@ -17,7 +17,10 @@ from .words import LOWER, text_slices
 
 @dataclass(frozen=True)
 class LangId:
-    """fit_rows labelled documents of at most fit_chars characters fit the n-gram tables, as many of each language as there are."""
+    """fit_rows labelled documents of at most fit_chars characters fit the n-gram tables, as many of each language, and one at least.
+
+    Any number of languages can be learned: the tables hold only n-grams that the sample has.
+    """
 
     fit_rows: int = 2000
     fit_chars: int = 20_000
@@ -28,7 +31,6 @@ class LangId:
     smoothing: float = 0.02
     steps: int = 12
     penalty: float = 4.0  # times the logarithm of the number of n-grams, for each language in the set
-    most_languages: int = 512
 
 
 _LETTERS = np.where((np.arange(256) >= 128) | ((LOWER >= 97) & (LOWER <= 122)), LOWER, 32).astype(np.uint8)
@@ -67,9 +69,22 @@ def _fit(log: np.ndarray, count: np.ndarray, chosen: list[int], steps: int) -> t
 
 @dataclass
 class Model:
+    """Log probabilities of n-gram buckets under each language, as a list of (language, excess over `base`) for each bucket."""
+
     p: LangId
     languages: list[str]
-    table: np.ndarray  # log probability of each bucket under each language
+    first: np.ndarray  # of each bucket, and the end of all
+    language: np.ndarray
+    excess: np.ndarray
+    base: np.ndarray  # of a bucket that a language does not have
+
+    def logs(self, seen: np.ndarray) -> np.ndarray:
+        """A row of log probabilities for each bucket."""
+        n = self.first[seen + 1] - self.first[seen]
+        at = np.arange(n.sum()) + np.repeat(self.first[seen] - np.cumsum(n) + n, n)
+        out = np.tile(self.base, (len(seen), 1))
+        out[np.repeat(np.arange(len(seen)), n), self.language[at]] += self.excess[at]
+        return out
 
     def mixture(self, ids: np.ndarray) -> list[tuple[str, float]]:
         """The document's languages and their shares, greatest first: the set with the best penalised likelihood.
@@ -80,7 +95,7 @@ class Model:
         count = np.bincount(ids, minlength=self.p.buckets)
         seen = np.flatnonzero(count)
         count = count[seen].astype(float)
-        log = self.table[seen]
+        log = self.logs(seen)
         log = log - log.max(axis=1, keepdims=True)
         price = self.p.penalty * np.log(max(2.0, count.sum()))
         single = count @ log
@@ -100,11 +115,12 @@ class Model:
 
 def fit_languages(docs: DataFrame, p: LangId = LangId(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """n-gram tables from rows with a language outside the held-out fold; None if there are none."""
-    known = docs.where(~in_fold(id_col, p.folds, p.held_out)).select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
-    picked = bounded_sample(known, "_id", "_lang", p.fit_rows, p.most_languages)
+    own = docs.where(~in_fold(id_col, p.folds, p.held_out) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.length(F.col(f"`{text_col}`").cast("string")).alias("_n"))
+    known = own.groupBy("_id").agg(F.min("_lang").alias("_lang"), (F.min("_n") <= p.fit_chars).alias("fits"))
+    picked = bounded_sample(known, p.fit_rows)
     if not picked:
         return None
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted({i for i, _ in picked})], "_id long"))  # about fit_rows ids
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted({i for i, _ in picked})], "_id long"))  # fit_rows ids, or one for each language
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     rows = rows.where((F.length("_text") <= p.fit_chars) & F.col("_lang").isNotNull()).join(ids, "_id").select("_lang", "_text")
 
@@ -119,16 +135,17 @@ def fit_languages(docs: DataFrame, p: LangId = LangId(), id_col: str = "doc_id",
                 seen = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(n[seen].astype(np.int64))], ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # languages times buckets
-    languages = sorted({r.lang for r in counts})
+    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # n-grams of the bounded sample
+    names = counts.column("lang").to_pylist()
+    languages = sorted(set(names))
     if not languages:
         return None
-    at = {x: i for i, x in enumerate(languages)}
-    table = np.zeros((p.buckets, len(languages)))
-    for r in counts:
-        table[r.bucket, at[r.lang]] = r.n
-    table += p.smoothing
-    return Model(p, languages, np.log(table / table.sum(axis=0)))
+    number = {x: i for i, x in enumerate(languages)}
+    language, bucket, n = np.array([number[x] for x in names]), counts.column("bucket").to_numpy(), counts.column("n").to_numpy().astype(float)
+    total = np.bincount(language, n, len(languages)) + p.smoothing * p.buckets
+    order = np.lexsort((language, bucket))
+    language, bucket, n = language[order], bucket[order], n[order]
+    return Model(p, languages, np.searchsorted(bucket, np.arange(p.buckets + 1)), language, np.log1p(n / p.smoothing), np.log(p.smoothing / total))
 
 
 def predict_languages(docs: DataFrame, model: Model | None, p: LangId = LangId(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +154,7 @@ def predict_languages(docs: DataFrame, model: Model | None, p: LangId = LangId()
     languages are the document's set and shares, lang_pred the greatest share, score that share. A text that is null or has
     no letter, and every text if there is no model, is `und` with score 0 and an empty set; a text with letters but no
     n-gram (shorter than one) is matched as if padded with spaces. A null doc_id is not held out. Repeated rows get equal
-    answers, ties go to the language first by name. An empty table gives an empty result; other columns are not read.
+    answers, ties go to the language first by name. Texts of any length are read whole. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), in_fold(id_col, p.folds, p.held_out).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
 

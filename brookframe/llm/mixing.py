@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, lean
+from .spread import heavy_keys, spread_join
 from .words import SPACE, text_slices
 
 
@@ -19,7 +20,9 @@ from .words import SPACE, text_slices
 class Mixing:
     """Either repeat_limit, the most epochs of any source while each gets one at least, or entropy, in nats.
 
-    block_words: about the words of a block; a source has 1 to max_blocks blocks.
+    block_words: about the words of a block. A source has 1 to max_blocks blocks, as one task orders the blocks of a source, so
+    blocks of a source beyond block_words * max_blocks words are larger. listed: so many sources go to each task; the
+    settings of more are joined.
     """
 
     repeat_limit: float | None = 1.5
@@ -27,7 +30,7 @@ class Mixing:
     seed: int = 11
     block_words: int = 100_000
     max_blocks: int = 65_536
-    max_sources: int = 100_000
+    listed: int = 100_000
 
 
 def _weights(share: np.ndarray, power: float) -> np.ndarray:
@@ -35,28 +38,42 @@ def _weights(share: np.ndarray, power: float) -> np.ndarray:
     return w / w.sum()
 
 
-def temperature_weights(words: list[int], m: Mixing = Mixing()) -> tuple[float, list[float]]:
-    """(exponent, weights): shares of words to a power in [0, 1], the flattest that meets the target, by bisection.
+def _bisect(flat_enough: Callable[[list[float]], list[bool]], grid: int) -> tuple[float, float]:
+    """Ends of a tiny interval of [0, 1]: flat_enough holds at the lower one (or nowhere: 0, 0) and not at the upper one.
 
-    A lower power is flatter: it has more entropy and repeats small sources more. If power 1 misses the entropy asked
-    for from above, or power 0 from below, that end is taken.
+    grid: exponents that are asked for at once, 1 for plain bisection.
+    """
+    if not flat_enough([0.0])[0]:
+        return 0.0, 0.0
+    low, high = 0.0, 1.0
+    while high - low > 1e-12:
+        asked = [low + (high - low) * i / (grid + 1) for i in range(1, grid + 1)]
+        holds = [a for a, x in zip(asked, flat_enough(asked), strict=True) if x]
+        low, high = (max(holds), min([a for a in asked if a > max(holds)] or [high])) if holds else (low, asked[0])
+    return low, high
+
+
+def temperature(least: float, most: float, m: Mixing, entropies: Callable[[list[float]], list[float]], grid: int = 1) -> float:
+    """The power in [0, 1] of the shares of words, the flattest that meets the target, by bisection.
+
+    least, most: words of the smallest and the largest source; entropies: of the weights at given powers. A lower power is
+    flatter: it has more entropy and repeats small sources more. If power 1 misses the entropy asked for from above, or
+    power 0 from below, that end is taken.
     """
+    if m.entropy is not None:
+        return _bisect(lambda powers: [x >= m.entropy for x in entropies(powers)], grid)[0]
+    # epochs are words to the power less one, so the smallest source has the most
+    return _bisect(lambda powers: [(least / most) ** (p - 1) > m.repeat_limit for p in powers], 1)[1]
+
+
+def temperature_weights(words: list[int], m: Mixing = Mixing()) -> tuple[float, list[float]]:
+    """(exponent, weights) of a list of sources' words."""
     share = np.array(words, float) / sum(words)
 
-    def flat_enough(power: float) -> bool:
-        w = _weights(share, power)
-        if m.entropy is not None:
-            return -(w * np.log(w)).sum() >= m.entropy
-        epochs = w / share
-        return epochs.max() / epochs.min() > m.repeat_limit
-
-    low, high = 0.0, 1.0  # the condition holds at low powers
-    if not flat_enough(low):
-        return 0.0, _weights(share, 0.0).tolist()
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if flat_enough(mid) else (low, mid)
-    power = low if m.entropy is not None else high
+    def entropies(powers: list[float]) -> list[float]:
+        return [float(-(w * np.log(w)).sum()) for w in (_weights(share, p) for p in powers)]
+
+    power = temperature(min(words), max(words), m, entropies)
     return power, _weights(share, power).tolist()
 
 
@@ -84,31 +101,45 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
     Nulls: a null source is a source of its own; rows with a null doc_id occur once each, in epoch 0. A null or empty
     text has no words; a source without words occurs once. Rows of one doc_id and source are one document, with their
-    words added. An empty table gives an empty result. Other columns are not read.
+    words added. A text of any length is read whole. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counted = scratch.write(plain.mapInArrow(lean(_count_words), "doc_id long, source string, words long"), "words")
     known = counted.where("doc_id is not null")
-    totals = known.groupBy("source").agg(F.sum("words").alias("total")).limit(m.max_sources + 1).collect()
-    if len(totals) > m.max_sources:
-        raise ValueError(f"more than {m.max_sources} sources")
-    totals.sort(key=lambda r: (r.source is not None, r.source))
-    live = [r for r in totals if r.total]
-    weights = temperature_weights([r.total for r in live], m)[1] if live else []
-    budget = max((r.total / w for r, w in zip(live, weights, strict=True)), default=0)
-    plan = []
-    for r, w in zip(live, weights, strict=True):
-        epochs = max(1.0, w * budget / r.total)
-        whole = math.floor(epochs + 1e-9)
-        plan.append((r.source, whole, int(max(0.0, epochs - whole) * r.total), min(m.max_blocks, max(1, -(-r.total // m.block_words)))))
-    plan += [(r.source, 1, 0, 1) for r in totals if not r.total]
-    settings = F.broadcast(spark.createDataFrame(plan, "source string, whole int, rest long, blocks long").withColumnRenamed("source", "s"))
+    totals = scratch.write(known.groupBy("source").agg(F.sum("words").alias("total"), F.count(F.lit(1)).alias("n")), "totals")
+    live = totals.where("total > 0")
+    sums = live.agg(F.sum("total").alias("all"), F.min("total").alias("least"), F.max("total").alias("most"), F.count(F.lit(1)).alias("sources")).first()
+    power, budget, scale = 1.0, 0.0, 1.0
+    if sums.sources:
+        share = F.col("total") / F.lit(float(sums["all"]))
+
+        def entropies(powers: list[float]) -> list[float]:
+            """-sum(w ln w) of the weights at each power, in one pass over the sources."""
+            parts = [x for i, p in enumerate(powers) for x in (F.sum(F.pow(share, F.lit(p))).alias(f"z{i}"), F.sum(F.pow(share, F.lit(p)) * F.log(share)).alias(f"l{i}"))]
+            row = live.agg(*parts).first()
+            return [math.log(row[f"z{i}"]) - p * row[f"l{i}"] / row[f"z{i}"] for i, p in enumerate(powers)]
+
+        power = temperature(sums.least, sums.most, m, entropies, 63)
+        scale = live.agg(F.sum(F.pow(share, F.lit(power)))).first()[0]
+        # the least budget that gives every source one epoch: words / weight is greatest for the largest source
+        budget = sums["all"] * scale * (sums.most / sums["all"]) ** (1 - power)
+    epochs = F.greatest(F.lit(1.0), F.pow(F.col("total") / F.lit(float(sums["all"] or 1)), F.lit(power - 1)) * F.lit(budget / scale / (sums["all"] or 1)))
+    whole = F.when(F.col("total") > 0, F.floor(epochs + 1e-9)).otherwise(1).cast("int")
+    rest = F.when(F.col("total") > 0, F.floor(F.greatest(F.lit(0.0), epochs - whole) * F.col("total"))).otherwise(0).cast("long")
+    blocks = F.least(F.lit(m.max_blocks), F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(m.block_words)))).cast("long")
+    settings = scratch.write(totals.select("source", "n", whole.alias("whole"), rest.alias("rest"), blocks.alias("blocks")), "settings")
 
     seed = F.lit(m.seed)
     units = known.groupBy("doc_id", "source").agg(F.sum("words").alias("words"))
-    units = scratch.write(units.join(settings, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("block", F.pmod(F.xxhash64(seed, F.lit("block"), "doc_id"), "blocks")), "units")
+    if settings.count() <= m.listed:
+        units = units.join(F.broadcast(settings.withColumnRenamed("source", "s").drop("n")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    else:
+        named = lambda df: df.withColumn("_s", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))))
+        one = named(settings)
+        units = spread_join(named(units), one.drop("source", "n"), ["_s"], heavy_keys(one, ["_s"], one.agg(F.sum("n")).first()[0]), ["doc_id"]).drop("_s")
+    units = scratch.write(units.withColumn("block", F.pmod(F.xxhash64(seed, F.lit("block"), "doc_id"), "blocks")), "units")
     block_order, doc_order = F.xxhash64(seed, "epoch", F.coalesce("source", F.lit("")), "block"), F.xxhash64(seed, "epoch", "doc_id")
 
     def ordered(df: DataFrame) -> DataFrame:
@@ -129,9 +160,17 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", m: Mixing = Mixing()) -> DataFrame:
-    """docs with each row as often as its document occurs in the mixture; same columns."""
-    times = mixture(docs, id_col, source_col, text_col, m).where("doc_id is not null").groupBy("doc_id", "source").agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    times = times.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_times")
-    named = docs.where(F.col(f"`{id_col}`").isNotNull()).join(times, (F.col(f"`{id_col}`") == F.col("_d")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_s")))
-    repeated = named.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return repeated.union(docs.where(F.col(f"`{id_col}`").isNull()))
+    """docs with each row as often as its document occurs in the mixture; same columns.
+
+    Rows with a null doc_id occur once; a null source is a source of its own; null and empty texts occur as often as others of
+    their source. Repeated rows are repeated alike. Texts of any length stay whole. An empty table gives an empty result.
+    Columns pass through, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    found = mixture(docs, id_col, source_col, text_col, m).where("doc_id is not null").groupBy("doc_id", F.xxhash64("source").alias("s")).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    found = scratch.write(found.withColumnRenamed("doc_id", "d"), "times")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    source = F.xxhash64(F.col(f"`{source_col}`").cast("string"))
+    keyed = docs.where(F.col(f"`{id_col}`").isNotNull()).select(row, F.col(f"`{id_col}`").cast("long").alias("d"), source.alias("s"))
+    repeated = keyed.join(found, ["d", "s"]).select("row", F.explode(F.sequence(F.lit(1), "times")).alias("nth"))
+    return repeated.select("row.*").union(docs.where(F.col(f"`{id_col}`").isNull()))

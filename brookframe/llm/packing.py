@@ -35,11 +35,11 @@ class Packing:
     end_id: int = 0
     tokenizer: str = "word_bpe_49k.json"  # a name known to public_tokenizers, or a path
     cached_words: int = 400_000
-    rounds: int = 24
-    eta: float = 0.5
-    share: float = 0.05  # of a filling's scarcest length, in one round
-    fillings: int = 20_000  # used by the linear program at most; the rest is placed by best fit
-    scales: tuple[float, ...] = (0.0, 0.6, 0.8, 0.9, 0.97, 1.0)
+    rounds: int = 24  # of pricing, in each pass
+    # (eta, share): weights are exp(-eta * covered share * rounds / 8); fractions are rounded up for the fullest share of use (0: none, and once)
+    roundings: tuple[tuple[float, float], ...] = ((0.3, 1.0), (3.0, 1.0), (0.3, 0.0))
+    passes: int = 4  # the program is solved again for what rounding leaves
+    rest: float = 0.02  # of the tokens: below this share best fit places what is left
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,8 +56,8 @@ _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!\"#$%&()
 class WordTokens:
     """Token ids of words as little-endian bytes, with a bounded memory of words seen.
 
-    The vocabulary is lower case, drops white space and never joins across it, so the ids of a text are those of its
-    words in turn. A word of ASCII or Latin-1 letters, then perhaps punctuation, is looked up as these two parts: the
+    If the vocabulary is lower case, drops white space and never joins across it, the ids of a text are those of its
+    words in turn; for any other tokenizer, whole texts are encoded. A word of ASCII or Latin-1 letters, then perhaps punctuation, is looked up as these two parts: the
     vocabulary cuts there too, and only letters not met before go to the merges.
     """
 
@@ -68,10 +68,15 @@ class WordTokens:
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
         self.merges = self.tokenizer.model.tokenize
+        # the short way below holds for lower-casing vocabularies that drop white space; others read whole texts
+        whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_words = whole("Ab  cd.\n") == whole("ab cd.") == [*whole("ab"), *whole("cd.")]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def of(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         # a special token's string is case sensitive, so texts with its opening are left as they are
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         known, out = self.known, []
@@ -175,29 +180,38 @@ def _filling(first: int, take: np.ndarray, capacity: int) -> Filling:
     return tuple(sorted(found.items(), reverse=True))
 
 
-def linear_program(histogram: dict[int, int], p: Packing) -> dict[Filling, float]:
-    """Fractional use of fillings that covers no length more than once, by multiplicative weights."""
+def linear_program(histogram: dict[int, int], p: Packing, eta: float = 3.0) -> dict[Filling, float]:
+    """Fractional use of fillings that covers no length more than once, by multiplicative weights.
+
+    All lengths are to be covered at one pace. In each round a length's price is its tokens times a weight that falls
+    exponentially with its covered share; the knapsack program completes a filling for every length behind the pace, and it
+    is used until one of its lengths is ahead by a round.
+    """
     lengths = np.array(sorted(histogram), np.int64)
     need = np.array([histogram[x] for x in lengths.tolist()], float)
     at = {x: i for i, x in enumerate(lengths.tolist())}
     covered, use = np.zeros(len(lengths)), Counter()
-    for _ in range(p.rounds):
-        price = lengths / p.capacity * np.exp(-p.eta * (covered - covered.min()))
-        best, take = _completions(price, lengths, p.capacity)
-        value = price + best[p.capacity - lengths]
-        order = np.flatnonzero((value >= value.max() * 0.98) | (covered <= np.quantile(covered, 0.25)))
-        for i in order:
+    for turn in range(1, p.rounds + 1):
+        pace = turn / p.rounds
+        lead = min(1.0, pace + 1 / p.rounds)
+        price = lengths / p.capacity * np.exp(-eta * p.rounds / 8 * (covered - covered.min()))
+        price[covered >= lead] = 0.0
+        _, take = _completions(price, lengths, p.capacity)
+        for i in np.flatnonzero(covered < pace)[::-1]:
             filling = _filling(int(lengths[i]), take, p.capacity)
-            step = p.share * min(need[at[x]] / n for x, n in filling)
-            use[filling] += step
-            for x, n in filling:
-                covered[at[x]] += step * n / need[at[x]]
-    over = {f: max(1e-12, max(covered[at[x]] for x, _ in f)) for f in use}
-    return {f: x / over[f] for f, x in use.most_common(p.fillings)}
+            step = min((lead - covered[at[x]]) * need[at[x]] / n for x, n in filling)
+            if step > 1e-9:
+                use[filling] += step
+                for x, n in filling:
+                    covered[at[x]] += step * n / need[at[x]]
+    return dict(use)
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Longest first, each length in the fullest open sequences that hold it; whole groups of equal sequences move at once."""
+def best_fit(histogram: dict[int, int], capacity: int, begun: list[tuple[Filling, int]] = ()) -> list[tuple[Filling, int]]:
+    """Longest first, each length in the fullest open sequences that hold it; whole groups of equal sequences move at once.
+
+    begun: fillings that are there already, whose room is used too.
+    """
     open_at: dict[int, list[tuple[Filling, int]]] = {}
     rooms: list[int] = []
 
@@ -207,6 +221,8 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, in
             bisect.insort(rooms, room)
         open_at[room].append((filling, n))
 
+    for filling, n in begun:
+        put(capacity - sum(x * c for x, c in filling), filling, n)
     for x in sorted(histogram, reverse=True):
         left = histogram[x]
         while left:
@@ -234,24 +250,59 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, in
     return [(f, n) for groups in open_at.values() for f, n in groups]
 
 
-def solve(histogram: dict[int, int], p: Packing = Packing()) -> list[tuple[Filling, int]]:
-    """Fillings and how often each is used; together they hold the histogram exactly."""
-    if not histogram:
-        return []
-    shares = linear_program(histogram, p)
-    found = None
-    for scale in p.scales:
-        left, plan = dict(histogram), []
-        for filling, x in sorted(shares.items(), key=lambda kv: -kv[1]) if scale else ():
-            n = min(int(x * scale), *(left.get(k, 0) // c for k, c in filling))
-            if n:
-                plan.append((filling, n))
+def _rounded(shares: dict[Filling, float], left: dict[int, int], share: float) -> list[tuple[Filling, int]]:
+    """Whole uses of fillings: the integral parts first, then one more by the fractions; pieces used are taken from left.
+
+    share: only the fullest fillings, of so much of all use, are used once more than their integral part. With 0, none is, and
+    integral parts count only for pairs that fill a sequence exactly: no packing is worse for holding such a pair.
+    """
+    uses: Counter[Filling] = Counter()
+    held = {f: sum(x * c for x, c in f) for f in shares}
+    full = max(held.values(), default=0)
+    total, least = 0.0, 0 if share else 1 << 62
+    for f in sorted(shares, key=lambda f: -held[f]) if share else ():
+        total += shares[f]
+        least = held[f]
+        if total >= share * sum(shares.values()):
+            break
+    most = sorted(shares.items(), key=lambda kv: (-kv[1], kv[0]))
+    for wanted in (lambda f: int(shares[f] + 1e-6) if share or (held[f] == full and f[0][0] + f[-1][0] == full and len(f) == 2) else 0, lambda f: int(held[f] >= least)):
+        for filling, _ in most:
+            n = min(wanted(filling), *(left.get(k, 0) // c for k, c in filling))
+            if n > 0:
+                uses[filling] += n
                 for k, c in filling:
                     left[k] -= n * c
-        plan += best_fit({k: n for k, n in left.items() if n}, p.capacity)
+        most.sort(key=lambda kv: (int(kv[1] + 1e-6) - kv[1], kv[0]))
+    return list(uses.items())
+
+
+def _plan(histogram: dict[int, int], p: Packing, eta: float, share: float) -> list[tuple[Filling, int]]:
+    tokens, left, uses = sum(x * n for x, n in histogram.items()), dict(histogram), Counter()
+    for _ in range(p.passes if share else 1):
+        left = {k: n for k, n in left.items() if n}
+        if sum(k * n for k, n in left.items()) <= max(p.rest * tokens, p.capacity):
+            break
+        for filling, n in _rounded(linear_program(left, p, eta), left, share):
+            uses[filling] += n
+    return best_fit({k: n for k, n in left.items() if n}, p.capacity, list(uses.items()))
+
+
+def solve(histogram: dict[int, int], p: Packing = Packing()) -> list[tuple[Filling, int]]:
+    """Fillings and how often each is used; together they hold the histogram exactly.
+
+    The linear program is solved and rounded, then again for what is left, p.passes times or until little is; that is
+    placed by best fit, in the room of the program's fillings too. Of the roundings, the one with the fewest sequences counts;
+    none is tried after one that meets the bound of all tokens.
+    """
+    least, found = -(-sum(x * n for x, n in histogram.items()) // p.capacity), None
+    for eta, share in p.roundings if histogram else ():
+        plan = _plan(histogram, p, eta, share)
         if found is None or sum(n for _, n in plan) < sum(n for _, n in found):
             found = plan
-    return found
+        if sum(n for _, n in found) <= least:
+            break
+    return found or []
 
 
 def _placer(plan: list[tuple[Filling, int]]):
@@ -289,7 +340,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Pac
     columns, whatever their names, are not read.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, piece int, part int, nth long" + ", ids binary" * with_ids
     pieces = scratch.write(rows.mapInArrow(lean(_cutter(p, tokenizer_path(p.tokenizer), with_ids)), schema), "pieces")
     # ranks of equal lengths: those of earlier partitions come first; a row for each length and partition

@@ -212,7 +212,11 @@ def score_quality(docs: DataFrame, model: Model | None, p: Quality = Quality(),
 
 
 def keep_good(docs: DataFrame, model: Model | None, p: Quality = Quality(), text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, whose text the classifier accepts; without a model, all."""
+    """The rows of docs, as they are, whose text the classifier accepts; without a model, all.
+
+    Null and empty texts are scored like any other; repeated rows are kept or dropped alike; texts of any length are read
+    whole. An empty table gives an empty result. Other columns pass through, whatever their names.
+    """
     if model is None:
         return docs
     at = docs.columns.index(text_col)

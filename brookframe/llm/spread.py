@@ -21,7 +21,8 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], heavy: l
     if not heavy:
         return left.join(right, [*keys], how)
     hot = left.sparkSession.createDataFrame(heavy, left.select(*keys).schema).withColumn("_hot", F.lit(True))  # 1000 rows at most
-    mine = left.join(F.broadcast(hot), [*keys], "left").withColumn("_piece", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(pieces))).otherwise(0)).drop("_hot")
+    zero = F.lit(0).cast("long")
+    mine = left.join(F.broadcast(hot), [*keys], "left").withColumn("_piece", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(pieces))).otherwise(zero)).drop("_hot")
     theirs = right.join(F.broadcast(hot), [*keys], "left")
-    theirs = theirs.withColumn("_piece", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))).cast("long")).drop("_hot")
+    theirs = theirs.withColumn("_piece", F.explode(F.when(F.col("_hot"), F.sequence(zero, zero + pieces - 1)).otherwise(F.array(zero)))).drop("_hot")
     return mine.join(theirs, [*keys, "_piece"], how).drop("_piece")

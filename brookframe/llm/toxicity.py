@@ -22,7 +22,7 @@ from .words import LOWER, mix, split_words, text_slices, word_hashes
 
 @dataclass(frozen=True)
 class Toxicity:
-    """fit_rows labelled documents of at most fit_chars characters fit the model; no other limit."""
+    """fit_rows labelled documents of at most fit_chars characters fit the model, by at most `places` windows of toxic documents in a round."""
 
     fit_rows: int = 3000
     fit_chars: int = 20_000
@@ -40,6 +40,7 @@ class Toxicity:
     epochs: int = 3  # in each round, or as many as make `steps` updates
     steps: int = 200
     negatives: int = 8  # windows of a clean document, in each round
+    places: int = 18_000
     rate: float = 0.01
     seed: int = 9
 
@@ -414,8 +415,8 @@ def train(column: pa.Array, y: np.ndarray, weight: np.ndarray, p: Toxicity) -> M
         noise = rng.random(len(value))
         worst = value >= top[text] - 1e-6 if turn == 0 else (value >= np.minimum(top[text], 2.0)) & (value > -1e9)
         bad = np.flatnonzero(learn & (y[text] == 1) & worst)
-        if len(bad) > 6 * p.fit_rows:
-            bad = rng.choice(bad, 6 * p.fit_rows, replace=False)
+        if len(bad) > p.places:
+            bad = rng.choice(bad, p.places, replace=False)
         clean = learn & (y[text] == 0)
         some = np.flatnonzero(clean & (noise < np.minimum(1, p.negatives / np.diff(own)[text])))
         hard = np.flatnonzero(clean & (value >= top[text] - 1e-6))

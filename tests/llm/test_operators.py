@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from brookframe.llm import additive, hilbert, langid, minhash, mixing, packing, pivots, quality, queries, substring, toxicity, words
 from brookframe.llm.components import connected_components
-from brookframe.llm.scratch import Scratch
+from brookframe.llm.labelled import bounded_sample, in_fold
+from brookframe.llm.scratch import Scratch, checkpoint_dir, disposable
+from brookframe.llm.spread import heavy_keys, spread_join
 
 SMALL, MEDIUM, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,6 +103,13 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(own)
 
 
+def test_shards_of_strings_with_a_common_prefix(spark):
+    rows = [(i, f"text {i}", f"https://site{i % 40:02}.org", "en") for i in range(400)]
+    found = hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), dims=("source",)).collect()
+    cell = {r.source: r.curve_index for r in found}
+    assert len(set(cell.values())) == 40 and [r.source for r in sorted(found, key=lambda r: (r.shard, r.slot))] == sorted(r.source for r in found)
+
+
 def test_shards_odd_rows(odd, none):
     rows = hilbert.hilbert_shards(odd).collect()
     assert sorted((r.shard, r.slot) for r in rows) == [(i, 0) for i in range(10)]
@@ -151,19 +160,39 @@ def test_word_tokens_are_those_of_whole_texts():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in odd]
 
 
-def test_solver_holds_the_histogram():
-    rng = np.random.default_rng(1)
-    for n in (1, 50, 5000):
-        h = dict(collections.Counter(rng.integers(1, 2049, n).tolist()))
-        plan = packing.solve(h)
-        held = collections.Counter()
-        for filling, times in plan:
-            assert sum(x * c for x, c in filling) <= 2048
-            for x, c in filling:
-                held[x] += c * times
-        assert held == h
-        lower = math.ceil(sum(x * c for x, c in h.items()) / 2048)
-        assert sum(t for _, t in plan) <= 1.06 * lower + 1
+LENGTHS = {
+    "any": lambda r: r.integers(1, 2049, 1500),
+    "one": lambda r: r.integers(1, 2049, 1),
+    "thirds": lambda r: r.integers(600, 760, 3000),
+    "middle": lambda r: r.integers(300, 1400, 6000),
+    "documents": lambda r: np.clip(r.lognormal(5.5, 1.0, 4000), 1, 2048).astype(int),
+    "six kinds": lambda r: r.choice([1025, 700, 324, 512, 513, 340], 3000),
+}
+
+
+@pytest.mark.parametrize("kind", LENGTHS)
+def test_program_against_best_fit(kind):
+    h = dict(collections.Counter(LENGTHS[kind](np.random.default_rng(1)).tolist()))
+    plan, held = packing.solve(h), collections.Counter()
+    for filling, times in plan:
+        assert sum(x * c for x, c in filling) <= 2048
+        for x, c in filling:
+            held[x] += c * times
+    assert held == h
+    ours, plain = (sum(t for _, t in q) for q in (plan, packing.best_fit(h, 2048)))
+    assert ours <= plain
+    if kind in ("thirds", "middle", "six kinds"):
+        assert ours < plain
+    # the program itself: every length covered once at most, and almost
+    use = packing.linear_program(h, packing.Packing())
+    cover = collections.Counter()
+    for f, x in use.items():
+        for k, c in f:
+            cover[k] += c * x
+    assert all(cover[k] <= n * (1 + 1e-9) for k, n in h.items()) and sum(cover.values()) >= 0.8 * sum(h.values())
+
+
+def test_no_pieces():
     assert packing.solve({}) == []
 
 
@@ -220,11 +249,23 @@ def test_near_duplicates_odd_rows(odd, none):
     assert kept.columns == odd.columns and kept.count() == 9 and minhash.drop_near_duplicates(none).count() == 0
 
 
+def test_spread_join(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(40)] + [(None, 1)], "k string, v int")
+    right = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(0, 40, 2)), ("other", 2)], "k string, w int")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    heavy = heavy_keys(counts, ["k"], left.count())
+    assert heavy == [("hot",)]
+    for how in ("inner", "left"):
+        joined = spread_join(left, right, ["k"], heavy, ["v"], how)
+        assert joined.columns == left.join(right, "k", how).columns
+        assert sorted(map(str, joined.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
 def test_components(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, 201 + i) for i in range(30)]
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, 201 + i) for i in range(600)]
     scratch = Scratch(spark, "test")
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long"), scratch).collect()}
-    assert all(found[i] == 0 for i in range(41)) and found[101] == 100 and all(found[200 + i] == 200 for i in range(31)) and len(found) == 41 + 2 + 31
+    assert all(found[i] == 0 for i in range(41)) and found[101] == 100 and all(found[200 + i] == 200 for i in range(601)) and len(found) == 41 + 2 + 601
 
 
 # 5 and 10
@@ -397,6 +438,26 @@ def test_languages(spark, odd, none):
     assert langid.fit_languages(none) is None and langid.predict_languages(odd, None).where("lang_pred = 'und'").count() == 10
 
 
+def test_many_languages(spark):
+    letters = np.array([f"{a}{b}{c}" for a in "bcdfghjklmnpqrst" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyzaeio"])
+    rng = np.random.default_rng(6)
+    own = [letters[rng.permutation(len(letters))[:3]] for _ in range(2000)]
+    rows = [(10 * i + k, f"l{i:04}", " ".join(rng.permutation(np.tile(w, 6)))) for i, w in enumerate(own) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learned = docs.where(~in_fold("doc_id", 3, 1)).select("lang").distinct().count()
+    model = langid.fit_languages(docs)
+    assert len(model.languages) == learned > 1900
+    few = docs.where("lang < 'l0040'").join(spark.createDataFrame([(x,) for x in model.languages], "lang string"), "lang").select("doc_id", "lang", "text")
+    rows = langid.predict_languages(few, model).join(few, "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.9
+
+
+def test_bounded_sample(spark):
+    known = spark.createDataFrame([(i, "a" if i % 50 else "b", i % 7 != 0) for i in range(5000)] + [(9000, "long", False), (9001, None, True)], "k long, v string, fits boolean")
+    found = collections.Counter(v for _, v in bounded_sample(known, 200))
+    assert found == {"a": 100, "b": 85} and bounded_sample(known.limit(0), 10) == []
+
+
 # 8
 
 
@@ -493,6 +554,26 @@ def test_mixture(spark):
     assert mixing.mixed_documents(docs, m=m).count() == len(rows)
 
 
+def test_mixture_of_more_sources_than_are_listed(spark):
+    docs = table(spark, SMALL, "documents")
+    one, two = (sorted(map(str, mixing.mixture(docs, m=mixing.Mixing(block_words=2000, listed=n)).collect())) for n in (100, 1))
+    assert one == two
+    own = [r.n for r in mixing.mixture(docs).where("epoch = 0").groupBy("source").agg(F.sum("words").alias("n")).collect()]
+    target = 0.5 * (math.log(len(own)) - sum(-x / sum(own) * math.log(x / sum(own)) for x in own)) + sum(-x / sum(own) * math.log(x / sum(own)) for x in own)
+    m = mixing.Mixing(repeat_limit=None, entropy=target)
+    mixed = collections.Counter()
+    for r in mixing.mixture(docs, m=m).collect():
+        mixed[r.source] += r.words
+    weights = mixing.temperature_weights(sorted(own), m)[1]
+    assert np.allclose(sorted(mixed.values()) / np.sum(list(mixed.values())), weights, atol=0.02)
+
+
+def test_mixed_documents_pass_any_column(spark):
+    own = spark.createDataFrame([(i, "a b c", "s" if i else "t", i, i, i, i, i) for i in range(9)] + [(None, "x", "s", 1, 1, 1, 1, 1)], "doc_id long, text string, source string, _nth int, _times int, _d int, _s int, row int")
+    out = mixing.mixed_documents(own)
+    assert out.columns == own.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in own.collect()}
+
+
 def test_mixture_odd_rows(odd, none):
     rows = mixing.mixture(odd).collect()
     assert collections.Counter(r.doc_id for r in rows if r.epoch == 0) == {i: 1 for i in (1, 2, 3, None, 5, 6, 7, 8, 9)}
@@ -534,3 +615,21 @@ def test_exact_sets(monkeypatch, broken):
     want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in own)]
     assert [len(s) for s in sets] == [len(s) for s in want]
     assert all(len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j]) for i in range(8) for j in range(8))
+
+
+def test_checkpoint_folder_and_disposable_tables(spark, tmp_path):
+    class Cluster:
+        """A session without a checkpoint folder."""
+
+        conf, sparkContext = {}, type("Context", (), {"master": "spark://host:7077", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Cluster())
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with disposable():
+        scratch = Scratch(spark, "test")
+        kept = scratch.write(spark.range(3).toDF("id"), "kept")
+        assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(scratch.root)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
