@@ -9,24 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookframe.llm import minhash, mixing, packing, quality, substring
-from brookframe.llm.scratch import Scratch
+from brookframe.llm.scratch import Scratch, disposable
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. It is fitted on labelled rows of docs."""
+    """Documents that the quality classifier rejects go. It is fitted on labelled rows of docs.
+
+    Nulls, empty texts, texts of any length, repeated rows and further columns: as `keep_good` says; none is dropped but by its score.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.fit_quality(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    """One document of each group of near copies stays: the one with the smallest doc_id.
+
+    Null and empty texts, and rows with a null doc_id, stay; of repeated rows of one doc_id one stays.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words and more that occur anywhere else go from all texts; a text without any stays as it is.
 
-    A document of which nothing is left stays, with an empty text.
+    A document of which nothing is left stays, with an empty text. A null text stays null. Repeated rows repeat each other, so
+    passages of 35 words go from all of them. Texts are read whole; further columns pass through.
     """
     found = substring.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
@@ -34,12 +41,18 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of sources below their weight occur again; none is lost."""
+    """Documents of sources below their weight occur again; none is lost.
+
+    A null source is a source; rows with a null doc_id occur once; null and empty texts are documents without words.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces, placed in sequences of 2048 tokens."""
+    """Every document's pieces, placed in sequences of 2048 tokens.
+
+    A null or empty text is one piece, the end id; repeated rows are documents of their own.
+    """
     return packing.pack(docs)
 
 
@@ -60,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, scratch.write(stage(spark, docs, sf_dir), name)
+        with disposable():  # the stage's own tables go when its output is written
+            before, docs = docs, scratch.write(stage(spark, docs, sf_dir), name)
         scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
