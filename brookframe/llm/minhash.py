@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = real.join(chosen, ["doc_id", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     centre = (
         banded.groupBy("bucket")
-        .agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node"))).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"))).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
         .where("lo <> hi")
         .select("bucket", F.col("c.node").alias("centre"), "n")
     )
