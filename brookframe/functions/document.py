@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -366,32 +369,86 @@ def operator(name: str, *args: Any, **named: Any) -> Column:
     return getattr(fn, found)(*args, **named)
 
 
-class Accumulator:
-    """build gets the ordering of the rows (a struct column) and gives an aggregate; over a window, plain."""
-
-    def __init__(self, build: Callable[[Column], Column], windowed: Callable[[], Column] | None = None):
-        self.build, self.windowed = build, windowed or (lambda: build(F.lit(0)))
+@dataclass(frozen=True)
+class Rows:
+    """The rows that an accumulator reads: df, and the ordering they come in (a struct column), for groups."""
 
+    df: DataFrame
+    order: Column
 
-def _listed(x: Any) -> Callable[[Column], Column]:
-    """The values of a group in order, nulls included."""
-    return lambda order: F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(value(x).alias("v")).alias("w")))), lambda e: e["w"]["v"])
+    def key(self, spec: dict[str, int]) -> Column:
+        return sort_key(self.df, spec)
 
 
-def _sort_key(spec: dict[str, int]) -> Column:
-    """A struct that sorts as the spec does; descending keys must be numbers, dates or times."""
+class Accumulator:
+    """An aggregate over rows and what is made of its value, apart, so that the aggregate can stand over a window too."""
+
+    def __init__(self, build: Callable[[Rows], Column], wrap: Callable[[Column], Column] = lambda c: c, windowed: Callable[[Rows], Column] | None = None, window_wrap: Callable[[Column], Column] | None = None):
+        self._build, self._wrap, self._windowed, self._window_wrap = build, wrap, windowed or build, window_wrap or wrap
+
+    def grouped(self, rows: Rows) -> Column:
+        return self._wrap(self._build(rows))
+
+    def over(self, rows: Rows, window: WindowSpec) -> Column:
+        """Over a window, whose own order counts."""
+        return self._window_wrap(self._windowed(rows).over(window))
+
+
+def descending(c: Column, kind: T.DataType) -> Column:
+    """A value that sorts the other way round, for any type that has an order."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        # complements of the hexadecimal digits; the end sorts after all of them
+        return F.concat(F.translate(F.hex(c.cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(c.cast("long"))
+    if isinstance(kind, T.FractionalType | T.DecimalType):
+        return -c
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return -F.unix_micros(c.cast("timestamp"))
+    raise TypeError(f"{kind.simpleString()} has no descending order")
+
+
+def sort_key(df: DataFrame, spec: dict[str, int]) -> Column:
+    """A struct that sorts as the spec does. Null is the lowest value: first ascending, last descending."""
     parts = []
     for i, (name, way) in enumerate(spec.items()):
         c = F.col(name)
-        # null is the lowest value: first ascending, last descending
         parts.append((c.isNotNull() if way > 0 else c.isNull()).alias(f"n{i}"))
-        parts.append((c if way > 0 else -c.cast("double")).alias(f"k{i}"))
+        parts.append((c if way > 0 else descending(c, df.select(c).schema[0].dataType)).alias(f"k{i}"))
     return F.struct(*parts)
 
 
+def _boxed(x: Any) -> Column:
+    """In a struct, so that aggregates do not leave nulls out."""
+    return F.struct(value(x).alias("v"))
+
+
+def _unboxed(c: Column) -> Column:
+    return F.transform(c, lambda e: e["v"])
+
+
+def _listed(x: Any, cut: Callable[[Column], Column] = lambda c: c, key: Callable[[Rows], Column] | None = None) -> Accumulator:
+    """The values in order, nulls included: the order of the rows, or by a key of their own."""
+    pairs = lambda rows: F.collect_list(F.struct((key(rows) if key else rows.order).alias("o"), _boxed(x).alias("w")))
+    ordered = lambda c: cut(F.transform(F.array_sort(c), lambda e: e["w"]["v"]))
+    if key:
+        return Accumulator(pairs, ordered)
+    return Accumulator(pairs, ordered, lambda rows: F.collect_list(_boxed(x)), lambda c: cut(_unboxed(c)))
+
+
+def _end(c: Column, n: int) -> Column:
+    """The last n elements."""
+    return F.reverse(F.slice(F.reverse(c), 1, n))
+
+
 class _Accumulators:
     def sum(self, x: Any) -> Accumulator:
-        return Accumulator(lambda _: F.coalesce(F.sum(value(x)), F.lit(0)), lambda: F.sum(value(x)))
+        """Of nothing: 0."""
+        return Accumulator(lambda _: F.sum(value(x)), lambda c: F.coalesce(c, F.lit(0)))
 
     def avg(self, x: Any) -> Accumulator:
         return Accumulator(lambda _: F.avg(value(x)))
@@ -403,16 +460,16 @@ class _Accumulators:
         return Accumulator(lambda _: F.max(value(x)))
 
     def first(self, x: Any) -> Accumulator:
-        return Accumulator(lambda order: F.min_by(F.struct(value(x).alias("v")), order)["v"], lambda: F.first(value(x)))
+        return Accumulator(lambda rows: F.min_by(_boxed(x), rows.order), lambda c: c["v"], lambda _: F.first(_boxed(x)))
 
     def last(self, x: Any) -> Accumulator:
-        return Accumulator(lambda order: F.max_by(F.struct(value(x).alias("v")), order)["v"], lambda: F.last(value(x)))
+        return Accumulator(lambda rows: F.max_by(_boxed(x), rows.order), lambda c: c["v"], lambda _: F.last(_boxed(x)))
 
     def push(self, x: Any) -> Accumulator:
-        return Accumulator(_listed(x), lambda: F.collect_list(value(x)))
+        return _listed(x)
 
     def add_to_set(self, x: Any) -> Accumulator:
-        return Accumulator(lambda _: F.array_sort(F.transform(F.collect_set(F.struct(value(x).alias("v"))), lambda e: e["v"])))
+        return Accumulator(lambda _: F.collect_set(_boxed(x)), lambda c: F.array_sort(_unboxed(c)))
 
     def count(self) -> Accumulator:
         return Accumulator(lambda _: F.count(F.lit(1)))
@@ -424,28 +481,29 @@ class _Accumulators:
         return Accumulator(lambda _: F.stddev_samp(value(x)))
 
     def first_n(self, x: Any, n: int) -> Accumulator:
-        return Accumulator(lambda order: F.slice(_listed(x)(order), 1, n))
+        return _listed(x, lambda c: F.slice(c, 1, n))
 
     def last_n(self, x: Any, n: int) -> Accumulator:
-        return Accumulator(lambda order: F.reverse(F.slice(F.reverse(_listed(x)(order)), 1, n)))
+        return _listed(x, lambda c: _end(c, n))
 
     def max_n(self, x: Any, n: int) -> Accumulator:
-        return Accumulator(lambda _: F.slice(F.reverse(F.array_sort(F.collect_list(value(x)))), 1, n))
+        """Nulls do not count."""
+        return Accumulator(lambda _: F.collect_list(value(x)), lambda c: F.slice(F.sort_array(c, asc=False), 1, n))
 
     def min_n(self, x: Any, n: int) -> Accumulator:
-        return Accumulator(lambda _: F.slice(F.array_sort(F.collect_list(value(x))), 1, n))
+        return Accumulator(lambda _: F.collect_list(value(x)), lambda c: F.slice(F.array_sort(c), 1, n))
 
     def top(self, sort: dict[str, int], output: Any) -> Accumulator:
-        return Accumulator(lambda _: F.min_by(F.struct(value(output).alias("v")), _sort_key(sort))["v"])
+        return Accumulator(lambda rows: F.min_by(_boxed(output), rows.key(sort)), lambda c: c["v"])
 
     def bottom(self, sort: dict[str, int], output: Any) -> Accumulator:
-        return Accumulator(lambda _: F.max_by(F.struct(value(output).alias("v")), _sort_key(sort))["v"])
+        return Accumulator(lambda rows: F.max_by(_boxed(output), rows.key(sort)), lambda c: c["v"])
 
     def top_n(self, n: int, sort: dict[str, int], output: Any) -> Accumulator:
-        return Accumulator(lambda _: F.slice(_listed(output)(_sort_key(sort)), 1, n))
+        return _listed(output, lambda c: F.slice(c, 1, n), lambda rows: rows.key(sort))
 
     def bottom_n(self, n: int, sort: dict[str, int], output: Any) -> Accumulator:
-        return Accumulator(lambda _: F.reverse(F.slice(F.reverse(_listed(output)(_sort_key(sort))), 1, n)))
+        return _listed(output, lambda c: _end(c, n), lambda rows: rows.key(sort))
 
 
 acc = _Accumulators()
@@ -454,29 +512,47 @@ acc = _Accumulators()
 # filters
 
 
-def field_filter(name: str, op: str, x: Any = None) -> Column:
-    """One field against one value: true or false, never null."""
-    c = F.col(name)
-    no = F.lit(False)
+_KINDS = (
+    (bool, T.BooleanType),
+    (int | float | decimal.Decimal, T.NumericType),
+    (str, T.StringType),
+    (datetime.date | datetime.datetime, T.DateType | T.TimestampType | T.TimestampNTZType),
+    (bytes | bytearray, T.BinaryType),
+    (list | tuple, T.ArrayType),
+    (dict, T.StructType | T.MapType),
+)
+
+
+def same_kind(x: Any, kind: T.DataType | None) -> bool:
+    """Whether a value can be compared with a column of this type: documents compare values of one kind only."""
+    if kind is None or isinstance(x, Column) or (isinstance(x, str) and x.startswith("$")):
+        return True
+    for mine, theirs in _KINDS:
+        if isinstance(x, mine):
+            return isinstance(kind, theirs)
+    return False
+
+
+def field_filter(name: str, op: str, x: Any = None, df: DataFrame | None = None) -> Column:
+    """One field against one value: true or false, never null.
+
+    With df, a value of another kind than the field matches nothing, and a field that is an array matches if an element does.
+    """
+    c, no = F.col(name), F.lit(False)
+    kind = df.select(c).schema[0].dataType if df is not None else None
+    if isinstance(kind, T.ArrayType) and op in ("$eq", "$gt", "$gte", "$lt", "$lte", "$in", "$regex") and not isinstance(x if op != "$in" else None, list | tuple) and x is not None:
+        return F.coalesce(F.exists(c, lambda e: _matches(e, op, x, kind.elementType)), no)
+    if isinstance(kind, T.ArrayType) and op in ("$ne", "$nin"):
+        return ~field_filter(name, {"$ne": "$eq", "$nin": "$in"}[op], x, df)
     match op:
-        case "$eq":
-            return c.eqNullSafe(value(x))
         case "$ne":
-            return ~c.eqNullSafe(value(x))
-        case "$gt" | "$gte" | "$lt" | "$lte":
-            v = value(x)
-            return F.coalesce({"$gt": c > v, "$gte": c >= v, "$lt": c < v, "$lte": c <= v}[op], no)
-        case "$in" | "$nin":
-            listed = [v for v in x if v is not None]
-            found = F.coalesce(c.isin(*listed), no) if listed else no
-            found = found | c.isNull() if None in x else found
-            return found if op == "$in" else ~found
+            return ~_matches(c, "$eq", x, kind)
+        case "$nin":
+            return ~_matches(c, "$in", x, kind)
         case "$exists":
             return c.isNotNull() if x else c.isNull()
         case "$type":
             return fn.type_of(c) == x
-        case "$regex":
-            return F.coalesce(c.rlike(x), no)
         case "$size":
             return F.coalesce(F.array_size(c) == x, no)
         case "$all":
@@ -484,12 +560,31 @@ def field_filter(name: str, op: str, x: Any = None) -> Column:
         case "$elemMatch":
             return F.coalesce(F.exists(c, x), no)
         case "$not":
-            return ~document_filter({name: x})
-    raise ValueError(f"unknown filter operator {op}")
+            return ~document_filter({name: x}, df)
+    return _matches(c, op, x, kind)
+
+
+def _matches(c: Column, op: str, x: Any, kind: T.DataType | None) -> Column:
+    no = F.lit(False)
+    if op not in ("$eq", "$gt", "$gte", "$lt", "$lte", "$in", "$regex"):
+        raise ValueError(f"unknown filter operator {op}")
+    if op == "$in":
+        listed = [v for v in x if v is not None and same_kind(v, kind)]
+        found = F.coalesce(c.isin(*listed), no) if listed else no
+        return found | c.isNull() if None in x else found
+    if x is not None and not same_kind(x, kind):
+        return no
+    v = value(x)
+    match op:
+        case "$eq":
+            return c.eqNullSafe(v)
+        case "$gt" | "$gte" | "$lt" | "$lte":
+            return F.coalesce({"$gt": c > v, "$gte": c >= v, "$lt": c < v, "$lte": c <= v}[op], no)
+    return F.coalesce(c.rlike(x), no)
 
 
-def document_filter(spec: Any) -> Column:
-    """A filter document ({field: value or {op: value}}, $and, $or, $nor, $expr), or a Column."""
+def document_filter(spec: Any, df: DataFrame | None = None) -> Column:
+    """A filter document ({field: value or {op: value}}, $and, $or, $nor, $expr), or a Column. df: the documents, for their types."""
     if isinstance(spec, Column):
         return F.coalesce(spec, F.lit(False))
     out = F.lit(True)
@@ -497,19 +592,19 @@ def document_filter(spec: Any) -> Column:
         if k == "$and":
             part = F.lit(True)
             for s in v:
-                part = part & document_filter(s)
+                part = part & document_filter(s, df)
         elif k in ("$or", "$nor"):
             part = F.lit(False)
             for s in v:
-                part = part | document_filter(s)
+                part = part | document_filter(s, df)
             part = ~part if k == "$nor" else part
         elif k == "$expr":
             part = F.coalesce(value(v), F.lit(False))
         elif isinstance(v, dict) and any(o.startswith("$") for o in v):
             part = F.lit(True)
             for op, x in v.items():
-                part = part & field_filter(k, op, x)
+                part = part & field_filter(k, op, x, df)
         else:
-            part = field_filter(k, "$eq", v)
+            part = field_filter(k, "$eq", v, df)
         out = out & part
     return out

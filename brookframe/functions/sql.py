@@ -70,8 +70,15 @@ class Functions:
         return _col(a).isin(_frame(values))
 
     def not_in(self, a: Any, values: Any) -> Column:
-        """As SQL has it: a null among the values makes no row match."""
-        return ~self.in_(a, values)
+        """As SQL has it: a null among the values makes no row match. Of a query: true or false, never null.
+
+        A query becomes an anti join on equal values and two one-row checks, so it need not fit in every task.
+        """
+        if isinstance(values, list | tuple | set):
+            return ~self.in_(a, values)
+        rows = _frame(values).toDF("_listed")
+        none = rows.where(F.col("_listed") == _col(a).outer()).exists()
+        return ~none & ~rows.where("_listed is null").exists() & (_col(a).isNotNull() | ~rows.exists())
 
     def exists(self, query: Any) -> Column:
         return _frame(query).exists()

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def tokens(text: Column) -> Column:
-    """The array of tokens, in order, with repeats. ASCII letters and digits; anything else parts tokens."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    """The array of tokens, in order, with repeats: letters and digits of any script; anything else parts tokens."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _words(query: str | list[str]) -> list[str]:
     import re
 
-    return re.findall("[a-z0-9]+", query.lower()) if isinstance(query, str) else [w.lower() for w in query]
+    return re.findall(r"[^\W_]+", query.lower()) if isinstance(query, str) else [w.lower() for w in query]
 
 
 def match_any(text: Column, query: str | list[str]) -> Column:
@@ -34,7 +34,7 @@ def term(text: Column, token: str) -> Column:
 
 def phrase(text: Column, words: str, slop: int = 0) -> Column:
     """The words in this order, with at most `slop` tokens between each two neighbours."""
-    gap = "" if not slop else f"(?:[a-z0-9]+ ){{0,{slop}}}"
+    gap = "" if not slop else f"(?:[^ ]+ ){{0,{slop}}}"
     pattern = "^(?:.* )?" + gap.join(w + " " for w in _words(words))
     return F.concat(F.array_join(tokens(text), " "), F.lit(" ")).rlike(pattern)
 
@@ -63,13 +63,15 @@ def constant(matches: Column, score: float) -> Column:
 
 
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of the rows with any query word. Only query words leave the rows; two small sums give the statistics."""
+    """(id, score) of the rows with any query word. Only counts of query words leave the rows; two small sums give the statistics."""
     words = sorted(set(_words(query)))
-
-    def times(word: str) -> Column:
-        return F.array_size(F.filter("_t", lambda t: t == word))
-
-    row = df.select(F.col(id_col), tokens(F.col(text_col)).alias("_t")).select(id_col, F.array_size("_t").alias("_n"), *[times(w).alias(f"_{i}") for i, w in enumerate(words)])
+    if not words:
+        return df.select(F.col(id_col), F.lit(0.0).alias("score")).limit(0)
+    plain = df.select(F.col(id_col), tokens(F.col(text_col)).alias("_t"))
+    short = plain.select(id_col, F.array_size("_t").alias("_n"), F.filter("_t", lambda t: t.isin(*words)).alias("_t"))
+    # narrow rows behind one exchange, which the statistics and the scores share: texts are read once
+    times = [F.array_size(F.filter("_t", F.lit(w).eqNullSafe)).alias(f"_{i}") for i, w in enumerate(words)]
+    row = short.select(id_col, "_n", *times).repartition(F.col(id_col))
     totals = row.agg(F.count(F.lit(1)).alias("docs"), F.avg("_n").alias("mean"), *[F.count(F.when(F.col(f"_{i}") > 0, 1)).alias(f"d{i}") for i in range(len(words))])
     joined = row.where(F.greatest(*[F.col(f"_{i}") for i in range(len(words))], F.lit(0)) > 0).crossJoin(F.broadcast(totals))  # one row
     score = F.lit(0.0)

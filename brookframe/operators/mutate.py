@@ -184,6 +184,51 @@ def update_with_stages(table: DataFrame, stages: Callable, where: Column) -> Cha
     return Changed(table.where(~hit).unionByName(rows, allowMissingColumns=True), rows)
 
 
+# the commands of documents
+
+
+def _first(table: DataFrame, where: Column, sort: dict[str, int] | None, key: list[str]) -> Column:
+    """A predicate for the first matching document by sort, then key."""
+    from ..plans.pipeline import Pipeline
+
+    rows = Pipeline(table.where(F.coalesce(where, F.lit(False)))).sort((sort or {}) | {k: 1 for k in key if k not in (sort or {})}).df
+    row = rows.select(*key).first()
+    if row is None:
+        return F.lit(False)
+    out = F.lit(True)
+    for k in key:
+        out = out & F.col(k).eqNullSafe(F.lit(row[k]))
+    return out
+
+
+def insert_many(table: DataFrame, documents: list[dict[str, Any]]) -> Changed:
+    return insert(table, documents)
+
+
+def insert_one(table: DataFrame, document: dict[str, Any]) -> Changed:
+    return insert(table, [document])
+
+
+def update_many(table: DataFrame, where: Column, changes: dict[str, dict[str, Any]]) -> Changed:
+    return update_documents(table, changes, where)
+
+
+def delete_many(table: DataFrame, where: Column) -> Changed:
+    return delete(table, where)
+
+
+def find_one_and_update(table: DataFrame, where: Column, changes: dict[str, dict[str, Any]], key: list[str], sort: dict[str, int] | None = None, before: bool = False) -> Changed:
+    """Change the first matching document; rows has it as it is now, or as it was before."""
+    one = _first(table, where, sort, key)
+    changed = update_documents(table, changes, one)
+    return Changed(changed.table, table.where(one) if before else changed.rows)
+
+
+def find_one_and_delete(table: DataFrame, where: Column, key: list[str], sort: dict[str, int] | None = None) -> Changed:
+    """Take the first matching document out; rows has it."""
+    return delete(table, _first(table, where, sort, key))
+
+
 class Transaction:
     """Changes to several tables that are published together, or not at all if the block raises."""
 

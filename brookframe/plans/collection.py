@@ -27,13 +27,14 @@ class ModelFields:
     """Columns of a model, and its relations with some, none and every."""
 
     def __init__(self, collection: Collection):
-        self._c = collection
+        self._c, self._related = collection, False
 
     def __getattr__(self, name: str) -> Any:
         return self[name]
 
     def __getitem__(self, name: str) -> Any:
         if name in self._c.model.relations:
+            self._related = True
             return RelationFilter(self._c, self._c.model.relations[name])
         return F.col(name)
 
@@ -84,6 +85,7 @@ class Collection:
     unique: tuple[str, ...] = ()
     after: dict[str, Any] | None = None
     of_variant: str | None = None
+    related: bool = False  # a filter looks at related rows
     alias: str = field(default_factory=lambda: f"_c{next(_NUMBERS)}")
 
     # the rows
@@ -110,11 +112,17 @@ class Collection:
                     require(self.db.tables[self.model.table].schema[k].dataType if k in self.db.tables[self.model.table].columns else self.base().schema[k].dataType, "equality", "equality")
                 out = out & fn.eq(F.col(k), v)
             return out
-        f = ModelFields(self)
+        return self._called(p, ModelFields(self))
+
+    def _called(self, p: Callable[..., Column], f: ModelFields) -> Column:
         return p(f, self.db.functions) if p.__code__.co_argcount > 1 else p(f)
 
     def where(self, predicate: Any) -> Collection:
-        return replace(self, filters=(*self.filters, self._predicate(predicate)))
+        if isinstance(predicate, Column | dict):
+            return replace(self, filters=(*self.filters, self._predicate(predicate)))
+        f = ModelFields(self)
+        found = self._called(predicate, f)
+        return replace(self, filters=(*self.filters, found), related=self.related or f._related)
 
     def order_by(self, column: str, direction: str = "asc", nulls: str | None = None) -> Collection:
         return replace(self, orders=(*self.orders, Order(column, direction, nulls)))
@@ -228,24 +236,42 @@ class Collection:
         return self._publish(mutate.insert(base, rows, self.model.defaults))
 
     def _publish(self, changed: mutate.Changed) -> mutate.Changed:
-        self.db.tables[self.model.table] = changed.table
-        return changed
-
-    def _where(self) -> Column:
-        return reduce(lambda a, b: a & b, self.filters, F.lit(True))
+        """The table changes; the affected rows come with the collection's columns and includes."""
+        table = changed.table.drop("_hit")
+        rows = changed.rows.drop("_hit").alias(self.alias)
+        for relation, include in self.includes:
+            rows = include.join(rows, self.model.relations[relation], relation)
+        if self.columns or self.includes:
+            rows = rows.select(*(self.columns or table.columns), *[r for r, _ in self.includes])
+        self.db.tables[self.model.table] = table
+        return mutate.Changed(table, rows)
+
+    def _target(self) -> tuple[DataFrame, Column]:
+        """The table and a predicate for the rows to change. Filters on relations are looked up once, and joined by key."""
+        table, filters = self.db.tables[self.model.table], list(self.filters)
+        if self.of_variant:
+            filters.append(F.col(self.model.discriminator) == self.model.variant(self.of_variant).value)
+        if not self.related:
+            return table, reduce(lambda a, b: a & b, filters, F.lit(True))
+        keys = self._filtered().select(*[F.col(k) for k in self.model.key]).distinct().withColumn("_hit", F.lit(True))
+        return table.join(keys, list(self.model.key), "left").select(*table.columns, "_hit"), F.col("_hit")
 
     def update(self, **values: Any) -> mutate.Changed:
         """One row, even if several match."""
-        return self._publish(mutate.update_one(self.db.tables[self.model.table], values, self._where(), list(self.model.key)))
+        table, where = self._target()
+        return self._publish(mutate.update_one(table, values, where, list(self.model.key)))
 
     def update_all(self, **values: Any) -> mutate.Changed:
-        return self._publish(mutate.update(self.db.tables[self.model.table], values, self._where()))
+        table, where = self._target()
+        return self._publish(mutate.update(table, values, where))
 
     def delete(self) -> mutate.Changed:
-        return self._publish(mutate.delete_one(self.db.tables[self.model.table], self._where(), list(self.model.key)))
+        table, where = self._target()
+        return self._publish(mutate.delete_one(table, where, list(self.model.key)))
 
     def delete_all(self) -> mutate.Changed:
-        return self._publish(mutate.delete(self.db.tables[self.model.table], self._where()))
+        table, where = self._target()
+        return self._publish(mutate.delete(table, where))
 
     def upsert(self, create: dict[str, Any], update: dict[str, Any], on: list[str] | None = None) -> mutate.Changed:
         return self._publish(mutate.upsert(self.db.tables[self.model.table], create, update, on or list(self.model.key), self.model.defaults))

@@ -11,9 +11,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, text, vector
-from ..functions.document import Accumulator, document_filter, value
+from ..functions.document import Accumulator, Rows, acc, document_filter, sort_key, value
 
 _KEEP, _PRUNE, _DESCEND = "$$KEEP", "$$PRUNE", "$$DESCEND"
 
@@ -25,14 +26,23 @@ def _orders(spec: dict[str, int]) -> list[Column]:
     return [F.col(k).asc_nulls_first() if way > 0 else F.col(k).desc_nulls_last() for k, way in spec.items()]
 
 
-def running_total(df: DataFrame, order: str, amount: str, out: str, ranges: int = 512) -> DataFrame:
-    """df with the sum of `amount` over all rows up to this one, by a numeric column with unique values.
+def _searched(c: Column, edges: list, low: int = 0) -> Column:
+    """How many of the sorted edges are at most c, by halving."""
+    if not edges:
+        return F.lit(low)
+    half = len(edges) // 2
+    return F.when(c >= F.lit(edges[half]), _searched(c, edges[half + 1 :], low + half + 1)).otherwise(_searched(c, edges[:half], low))
 
-    Ranges of the order column are summed first, so that no task sorts all rows: only their totals are summed in one.
+
+def running_total(df: DataFrame, order: str, amount: str, out: str, ranges: int = 64, sample: int = 4096) -> DataFrame:
+    """df with the sum of `amount` over all rows up to this one, by a column of any ordered type with unique values.
+
+    Ranges of the order column, cut by a bounded sample of its values, are summed first, so that no task sorts all rows:
+    only their totals are summed in one.
     """
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    part = F.array_size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    parted = df.withColumn("_part", part)
+    chosen = sorted(r[0] for r in df.select(order).orderBy(F.xxhash64(order)).limit(sample).collect() if r[0] is not None and r[0] == r[0])
+    edges = sorted({chosen[len(chosen) * i // ranges] for i in range(1, ranges)}) if chosen else []
+    parted = df.withColumn("_part", _searched(F.col(order), edges))
     sums = parted.groupBy("_part").agg(F.sum(amount).alias("_sum"))
     before = sums.select(F.col("_part").alias("_p"), (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # `ranges` rows
     inside = F.sum(amount).over(Window.partitionBy("_part").orderBy(order))
@@ -57,7 +67,7 @@ class Pipeline:
         return self._to(stage(self.df))
 
     def match(self, spec: dict | Column) -> Pipeline:
-        return self._to(self.df.where(spec if isinstance(spec, Column) else document_filter(spec)))
+        return self._to(self.df.where(spec if isinstance(spec, Column) else document_filter(spec, self.df)))
 
     def project(self, spec: dict[str, Any]) -> Pipeline:
         """{field: 1} keeps, {field: 0} leaves out, anything else computes. `_id` stays unless it is 0."""
@@ -114,25 +124,33 @@ class Pipeline:
         return self._to(self.df.withColumns(bound).drop(as_).lateralJoin(listed, how="left").drop(*bound), False)
 
     def unwind(self, path: str, preserve: bool = False, index: str | None = None) -> Pipeline:
-        """A row for each element; preserve keeps rows with a null or empty array, with null."""
+        """A row for each element; preserve keeps rows with a null or empty array, with null. A value that is no array is its own only element.
+
+        path may be dotted: the element then stands in the array's place inside the document. index: a column for the place, null for what is no array.
+        """
         path = path.lstrip("$")
-        others = [F.col(c) for c in self.df.columns if c != path]
+        top, _, rest = path.partition(".")
+        kind = self.df.select(F.col(path)).schema[0].dataType
+        plain = not isinstance(kind, T.ArrayType)
+        listed = F.when(F.col(path).isNotNull(), F.array(F.col(path))) if plain else F.col(path)
+        df = self.df.select("*", (F.posexplode_outer if preserve else F.posexplode)(listed).alias("_at", "_one"))
+        df = df.withColumn(top, F.col(top).withField(rest, F.col("_one")) if rest else F.col("_one"))
         if index:
-            f = F.posexplode_outer if preserve else F.posexplode
-            return self._to(self.df.select(*others, f(path).alias(index, path)))
-        return self._to(self.df.select(*others, (F.explode_outer if preserve else F.explode)(path).alias(path)))
+            df = df.withColumn(index, F.lit(None).cast("int") if plain else F.col("_at"))
+        return self._to(df.drop("_at", "_one"))
 
     def _order(self) -> Column:
-        from ..functions.document import _sort_key
-
-        return _sort_key(dict(self.sorted_by)) if self.sorted_by else F.lit(0)
+        """The rows' order as a value; columns that a later stage has taken away no longer count."""
+        known = dict(self.sorted_by) if {k.split(".")[0] for k, _ in self.sorted_by} <= set(self.df.columns) else {}
+        return sort_key(self.df, known) if known else F.lit(0)
 
     def group(self, _id: Any, **fields: Accumulator) -> Pipeline:
         """Rows by _id (an expression, a dict of them, or None for all); fields are accumulators."""
         for k, a in fields.items():
             if not isinstance(a, Accumulator):
                 raise TypeError(f"{k} is not an accumulator")
-        out = [a.build(self._order()).alias(k) for k, a in fields.items()]
+        rows = Rows(self.df, self._order())
+        out = [a.grouped(rows).alias(k) for k, a in fields.items()]
         if _id is None:
             found = self.df.agg(*(out or [F.count(F.lit(1)).alias("_n")]), F.count(F.lit(1)).alias("_rows")).where("_rows > 0").drop("_rows", "_n")
             return self._to(found.select(F.lit(None).cast("string").alias("_id"), *found.columns), False)
@@ -159,18 +177,31 @@ class Pipeline:
     def redact(self, decide: Callable[[Callable[[str], Column]], Column], nested: tuple[str, ...] = ()) -> Pipeline:
         """decide gets a function from field name to Column, and returns '$$KEEP', '$$PRUNE' or '$$DESCEND' as a Column.
 
-        Descend looks at the named struct fields, or arrays of structs, by the same rule; pruned ones are null or left out.
+        Descend looks at the named struct fields, or arrays of structs, by the same rule, and at fields inside them whose
+        dotted paths are named ('parts', 'parts.sub'); pruned ones are null or left out.
         """
+
+        def inner(c: Column, kind: T.DataType, paths: list[str]) -> Column:
+            """A struct or an array of structs after the rule."""
+            if isinstance(kind, T.ArrayType):
+                kept = F.filter(c, lambda e: decide(lambda n: e.getField(n)).isin(_KEEP, _DESCEND))
+                return F.transform(kept, lambda e: below(e, kind.elementType, paths)) if paths else kept
+            return F.when(decide(lambda n: c.getField(n)).isin(_KEEP, _DESCEND), below(c, kind, paths))
+
+        def below(c: Column, kind: T.StructType, paths: list[str]) -> Column:
+            out = c
+            for top in dict.fromkeys(p.partition(".")[0] for p in paths):
+                deeper = [p.partition(".")[2] for p in paths if p.startswith(f"{top}.")]
+                out = out.withField(top, inner(c.getField(top), kind[top].dataType, deeper))
+            return F.when(decide(lambda n: c.getField(n)) == _KEEP, c).otherwise(out) if paths else c
+
         verdict = decide(lambda name: F.col(name))
         df = self.df.where(verdict.isin(_KEEP, _DESCEND))
-        for name in nested:
-            c, whole = F.col(name), verdict == _KEEP
-            if df.schema[name].dataType.typeName() == "array":
-                inner = F.filter(c, lambda e: decide(lambda n: e.getField(n)).isin(_KEEP, _DESCEND))
-            else:
-                inner = F.when(decide(lambda n, c=c: c.getField(n)).isin(_KEEP, _DESCEND), c)
-            df = df.withColumn(name, F.when(whole, c).otherwise(inner))
-        return self._to(df)
+        columns = {}
+        for top in dict.fromkeys(p.partition(".")[0] for p in nested):
+            deeper = [p.partition(".")[2] for p in nested if p.startswith(f"{top}.")]
+            columns[top] = F.when(verdict == _KEEP, F.col(top)).otherwise(inner(F.col(top), df.schema[top].dataType, deeper))
+        return self._to(df.withColumns(columns) if columns else df)
 
     def out(self, path: str) -> DataFrame:
         """Replace the table at path by the rows."""
@@ -196,25 +227,24 @@ class Pipeline:
             label = F.lit(low) if default is None or type(default) is type(low) else F.lit(str(low))
             which = F.when(inside, label) if which is None else which.when(inside, label)
         which = which.otherwise(F.lit(default) if default is not None else F.raise_error(F.lit("a value is outside the boundaries")))
-        from ..functions.document import acc
-
         return self.add_fields(_bucket=which).group("$_bucket", **(output or {"count": acc.count()}))
 
     def bucket_auto(self, by: Any, buckets: int, output: dict[str, Accumulator] | None = None) -> Pipeline:
         """About evenly filled ranges {min, max}; equal values share one. A bucket ends at the first value that fills its share."""
-        from ..functions.document import acc
-
-        rows = self.df.withColumn("_by", value(by))
-        counts = running_total(rows.where("_by is not null").groupBy("_by").agg(F.count(F.lit(1)).alias("_n")), "_by", "_n", "_upto")
-        total = counts.agg(F.max("_upto")).first()[0] or 0
+        rows = self.df.withColumn("_by", value(by)).where("_by is not null")
+        counts = running_total(rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_n")), "_by", "_n", "_upto")
+        total = rows.agg(F.count(F.lit(1)).alias("_all"))
         # the place of a value's first row decides its bucket
-        number = F.floor((F.col("_upto") - F.col("_n")) * buckets / F.lit(max(total, 1)))
-        placed = counts.select(F.col("_by").alias("_value"), number.alias("_bucket"))
-        ends = counts.select("_by", number.alias("_bucket")).groupBy("_bucket").agg(F.min("_by").alias("_min"), F.max("_by").alias("_max"))
-        upper = F.coalesce(F.lead("_min").over(Window.orderBy("_bucket")), F.col("_max"))
-        named = F.broadcast(ends.select("_bucket", F.struct(F.col("_min").alias("min"), upper.alias("max")).alias("_range")))  # a row per bucket
-        joined = rows.join(placed.join(named, "_bucket"), F.col("_by") == F.col("_value"))
-        return self._to(joined).group("$_range", **(output or {"count": acc.count()}))
+        number = F.floor((F.col("_upto") - F.col("_n")) * buckets / F.col("_all"))
+        numbered = counts.crossJoin(F.broadcast(total))  # one row
+        ends = sorted(numbered.groupBy(number.alias("_bucket")).agg(F.min("_by").alias("low"), F.max("_by").alias("high")).collect())  # a row per bucket
+        kind = rows.schema["_by"].dataType
+        lows = [r.low for r in ends]
+        ups = [*lows[1:], ends[-1].high] if ends else []
+        which = _searched(F.col("_by"), lows[1:])
+        ranges = F.array(*[F.struct(F.lit(a).cast(kind).alias("min"), F.lit(b).cast(kind).alias("max")) for a, b in zip(lows, ups, strict=True)]) if ends else F.array(F.struct(F.lit(None).cast(kind).alias("min"), F.lit(None).cast(kind).alias("max")))
+        grouped = self._to(rows.withColumn("_which", which)).group("$_which", **(output or {"count": acc.count()}))
+        return self._to(grouped.df.withColumn("_id", F.get(ranges, F.col("_id"))), False)
 
     def geo_near(self, near: tuple[float, float], x: str, y: str, distance_field: str, max_distance: float | None = None, limit: int | None = None) -> Pipeline:
         """Rows from near to far by great-circle metres."""
@@ -273,7 +303,7 @@ class Pipeline:
         for name, (a, frame) in output.items():
             low, high = frame or (None, None)
             w = base.rowsBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
-            columns[name] = a.windowed().over(w)
+            columns[name] = a.over(Rows(self.df, F.lit(0)), w)
         return self._to(self.df.withColumns(columns))
 
     def densify(self, field: str, step: int, unit: str | None = None, partition_by: list[str] = (), bounds: tuple | None = None) -> Pipeline:

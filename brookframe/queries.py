@@ -165,15 +165,15 @@ def sql_paging(t: Tables) -> DataFrame:
     return t.sql("customer").select("c_custkey", "c_acctbal").order_by("c_acctbal", "desc").order_by("c_custkey").offset(10).limit(20).build()
 
 
-@query("""SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS kind, upper(substring(p_brand, 1, 7)) AS brand, CAST(p_retailprice AS BIGINT) AS price, p_name
-FROM part WHERE (p_name LIKE '%1%' OR p_type ILIKE '%BRASS%') AND p_size IS NOT NULL""")
+@query("""SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS kind, upper(substring(p_brand, 1, 7)) AS brand, CAST(floor(p_retailprice) AS BIGINT) AS price, p_name
+FROM part WHERE (p_name LIKE '%e%' OR p_type ILIKE '%StEeL%' OR p_brand ILIKE 'brand#1%') AND p_size IS NOT NULL""")
 def sql_expressions(t: Tables) -> DataFrame:
-    q = t.sql("part").where(lambda f, fn: fn.or_(fn.like(f.p_name, "%1%"), fn.ilike(f.p_type, "%BRASS%"))).where(lambda f, fn: fn.ne(f.p_size, None))
+    q = t.sql("part").where(lambda f, fn: fn.or_(fn.like(f.p_name, "%e%"), fn.ilike(f.p_type, "%StEeL%"), fn.ilike(f.p_brand, "brand#1%"))).where(lambda f, fn: fn.ne(f.p_size, None))
     return q.select(
         lambda f, fn: {
             "kind": fn.case((fn.lt(f.p_size, 10), "small"), (fn.lt(f.p_size, 30), "medium"), else_="large"),
             "brand": fn.call("upper", fn.call("substring", f.p_brand, 1, 7)),
-            "price": fn.cast(F.round(f.p_retailprice), "bigint"),
+            "price": fn.cast(F.floor(f.p_retailprice), "bigint"),
             "p_name": f.p_name,
         }
     ).build()
@@ -428,7 +428,7 @@ def ext_vector_distances(t: Tables) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", F.round(vector.cosine_distance(F.col("embedding"), F.col("other")), 6).alias("cd"), F.round(vector.euclidean(F.col("embedding"), F.col("other")), 5).alias("d"))
 
 
-_TOKENS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+_TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), r AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'with')) AS a, len(list_filter(w, lambda x: x = 'from')) AS b FROM d),
@@ -461,10 +461,10 @@ def mut_update_delete(t: Tables) -> DataFrame:
     return mutate.delete(changed, F.col("c_nationkey") == 5).table.select("c_custkey", "c_acctbal", "c_mktsegment")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier) a FULL JOIN (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k""")
+@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier) a FULL JOIN (SELECT c_custkey + 7 AS k, c_acctbal AS v FROM customer) b ON a.k = b.k""")
 def mut_merge(t: Tables) -> DataFrame:
     target = t["supplier"].select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    rows = t["customer"].where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    rows = t["customer"].select((F.col("c_custkey") + 7).alias("k"), F.col("c_acctbal").alias("v"))
     return Pipeline(rows).merge(target, ["k"])
 
 
@@ -481,3 +481,6 @@ def mut_document_update(t: Tables) -> DataFrame:
 def stream_hourly(t: Tables) -> DataFrame:
     rows = windowed(t["events"].withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"], n=F.count(F.lit(1)), total=F.round(F.sum("value"), 3))
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("h"), "event_type", "n", "total")
+
+
+from . import operator_queries  # noqa: E402, F401  (registers its queries above)

@@ -253,3 +253,63 @@ def test_stream(spark, tmp_path):
     stream = windowed(read(spark, str(tmp_path / "in"), df.schema), "ts", "1 hour", ["kind"], n=F.count(F.lit(1)))
     stream.writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("hours").count() == 2
+
+
+def test_not_in_subquery_is_not_broadcast(spark, db):
+    d = db()
+    inviters = Select.table(d.tables["users"].where("invited_by_id is not null"), "i").select("invited_by_id")
+    q = Select.table(d.tables["users"], "u").select("id").where(lambda f, fn: fn.not_in(f.id, inviters)).build()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in q._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in q.collect()) == [3, 4]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    nobody = Select.table(d.tables["users"].where("id < 0"), "i").select("id")
+    assert Select.table(d.tables["users"], "u").select("id").where(lambda f, fn: fn.not_in(f.invited_by_id, nobody)).build().count() == 4
+
+
+def test_changes_by_relations_and_variants(db):
+    d = db()
+    posts = lambda u: u.posts.some(lambda p: p.views > 60)
+    changed = d.collection("User").where(posts).include("posts").update_all(name="Z")
+    assert sorted((r.id, r.name, len(r.posts)) for r in changed.rows.collect()) == [(1, "Z", 2), (2, "Z", 1)]
+    assert d.tables["users"].columns == ["id", "name", "email", "invited_by_id"] and d.tables["users"].where("name = 'Z'").count() == 2
+    gone = d.collection("User").where(lambda u: u.posts.none()).include("invitedBy").delete_all().rows.collect()
+    assert [(r.id, r.invitedBy.name) for r in gone] == [(4, "Z")] and d.tables["users"].count() == 3
+    d.collection("Task").variant("Bug").delete_all()
+    assert [r.type for r in d.tables["tasks"].collect()] == ["feature"]
+
+
+def test_order_of_any_type(spark):
+    df = spark.createDataFrame([(1, "a", "ab", True, b"x"), (2, "a", "abc", False, b"xy"), (3, "a", None, None, None), (4, "a", "b", True, b"a")], "id int, k string, s string, b boolean, raw binary")
+    one = lambda name, way: Pipeline(df).group("$k", v=acc.top_n(4, {name: way, "id": 1}, "$id")).build().first().v
+    assert one("s", 1) == [3, 1, 2, 4] and one("s", -1) == [4, 2, 1, 3] and one("b", -1) == [1, 4, 2, 3] and one("raw", -1) == [2, 1, 4, 3]
+    rows = Pipeline(df).sort({"s": -1}).group("$k", f=acc.first("$id"), l=acc.last("$id"), all=acc.push("$s")).build().first()
+    assert (rows.f, rows.l, rows["all"]) == (4, 3, ["b", "abc", "ab", None])
+    with pytest.raises(TypeError):
+        Pipeline(df.withColumn("m", F.create_map(F.lit(1), F.lit(2)))).group("$k", v=acc.top({"m": -1}, "$id"))
+
+
+def test_filters_compare_one_kind_only(spark):
+    df = spark.createDataFrame([(1, "x", [1, 5]), (2, None, []), (3, "y", None)], "id int, s string, xs array<int>")
+    ids = lambda spec: sorted(r.id for r in Pipeline(df).match(spec).build().collect())
+    assert ids({"s": {"$gt": 5}}) == [] and ids({"s": {"$in": [1, "x"]}}) == [1] and ids({"s": {"$ne": 5}}) == [1, 2, 3] and ids({"s": {"$nin": [1, None]}}) == [1, 3]
+    assert ids({"xs": 5}) == [1] and ids({"xs": {"$ne": 5}}) == [2, 3] and ids({"xs": {"$gt": 4}}) == [1] and ids({"xs": {"$in": [1, "z"]}}) == [1] and ids({"xs": {"$not": {"$gt": 4}}}) == [2, 3]
+    with pytest.raises(ValueError):
+        ids({"s": {"$near": 1}})
+
+
+def test_unwind_of_paths_and_scalars(spark):
+    df = spark.createDataFrame([(1, ([7, 8],)), (2, ([],)), (3, (None,))], "id int, o struct<xs: array<int>>")
+    rows = Pipeline(df).unwind("$o.xs", index="i").build().collect()
+    assert [(r.id, r.o.xs, r.i) for r in rows] == [(1, 7, 0), (1, 8, 1)]
+    assert Pipeline(df).unwind("o.xs", preserve=True).build().count() == 4 and Pipeline(df).unwind("id", index="i").build().where("i is null").count() == 3
+
+
+def test_find_one_commands(spark, db):
+    users = db().tables["users"]
+    was = mutate.find_one_and_update(users, F.col("id") > 1, {"$set": {"name": "Q"}}, ["id"], sort={"id": -1}, before=True)
+    assert was.rows.first().name == "Diana" and was.table.where("name = 'Q'").first().id == 4
+    gone = mutate.find_one_and_delete(users, F.col("id") > 100, ["id"])
+    assert gone.rows.count() == 0 and gone.table.count() == 4
