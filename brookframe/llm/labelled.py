@@ -14,16 +14,25 @@ def in_fold(id_col: str, folds: int, fold: int) -> Column:
 def bounded_sample(known: DataFrame, rows: int) -> list[tuple]:
     """(key, value) of known, the same number of each value as far as it has them: `rows` in all, and one of each value at least.
 
-    known: (key, value, fits), a row for each key; only keys that fit are chosen, by hash of the key. Each task keeps its own
-    first ones, so a value with very many keys is not gathered.
+    known: (key, value, fits), a row for each key; only keys that fit are chosen: those with the least hashes. Counts by the size
+    of the hash tell how far these reach, so that of a value with very many keys only about twice the wanted are ordered.
     """
     key, value = known.columns[:2]
     fitting = known.where(F.col(key).isNotNull() & F.col(value).isNotNull() & F.col("fits")).select(key, value)
-    values = fitting.select(value).distinct().count()
+    number = F.xxhash64(F.lit("fit"), key).bitwiseAND((1 << 62) - 1)
+    drawn = fitting.withColumn("_u", number).withColumn("_size", F.floor(F.log2(F.col("_u") + 1)).cast("int"))
+    # how many keys of a value have numbers below each power of two: 63 rows for each value at most
+    counts = drawn.groupBy(value, "_size").agg(F.count(F.lit(1)).alias("_n"))
+    values = counts.select(value).distinct().count()
     if not values:
         return []
-    nth = F.row_number().over(Window.partitionBy(value).orderBy(F.xxhash64(F.lit("fit"), key), key))
-    return [tuple(r) for r in fitting.withColumn("_nth", nth).where(F.col("_nth") <= max(1, rows // values)).drop("_nth").collect()]
+    most = max(1, rows // values)
+    before = F.sum("_n").over(Window.partitionBy(value).orderBy("_size")) - F.col("_n")
+    reach = counts.withColumn("_before", before).where(F.col("_before") < most).groupBy(value).agg(F.max("_size").alias("_reach"))
+    # twice as many rows as are wanted, or so, are ordered
+    near = drawn.join(F.broadcast(reach), value).where("_size <= _reach")  # a row for each value
+    nth = F.row_number().over(Window.partitionBy(value).orderBy("_u", key))
+    return [tuple(r) for r in near.withColumn("_nth", nth).where(F.col("_nth") <= most).select(key, value).collect()]
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
