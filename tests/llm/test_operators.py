@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from brookframe.llm import additive, hilbert, langid, minhash, mixing, packing, pivots, quality, queries, substring, toxicity, words
 from brookframe.llm.components import connected_components
 from brookframe.llm.labelled import bounded_sample, in_fold
+from brookframe.llm.sample import least_hashed
 from brookframe.llm.scratch import Scratch, checkpoint_dir, disposable
 from brookframe.llm.spread import heavy_keys, spread_join
 
@@ -633,3 +634,11 @@ def test_checkpoint_folder_and_disposable_tables(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         spark.read.parquet(scratch.root)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
+
+
+def test_least_hashed(spark):
+    df = spark.range(5000).selectExpr("id as k", "cast(id as string) as v").union(spark.range(4000).selectExpr("7L as k", "'7' as v"))
+    found = least_hashed(df, ["k"], "v", 100)
+    assert len(found) == len(set(found)) == 100 and found == least_hashed(df.repartition(5), ["k"], "v", 100)
+    assert sorted(least_hashed(df.where("k < 30"), ["k"], "v", 100), key=int) == [str(i) for i in range(30)]
+    assert least_hashed(df.where("k < 0"), ["k"], "v", 100) == []
