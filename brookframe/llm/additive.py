@@ -8,8 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .sample import least_hashed
 from .scratch import Scratch
 from .vectors import best_of, in_groups, matrix, query_blocks, union_all, valid_vectors
 
@@ -160,11 +160,11 @@ def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     spark = df.sparkSession
     scratch = Scratch(spark, "additive")
     rows = scratch.write(valid_vectors(df, id_col, vector_col, nonzero=True), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("v").collect()
+    sample = least_hashed(rows, ["vec_id"], "v", p.sample)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sample:
         return empty
-    books = fit_codebooks(np.array([r.v for r in sample]), p)
+    books = fit_codebooks(np.array(sample), p)
     index = scratch.write(rows.mapInArrow(_encoder(books, p.beam, k), "vec_ids array<long>, v array<double>, codes binary, norm double, error double"), "index")
     parts = []
     for ids, queries in query_blocks(rows, every, p.block):

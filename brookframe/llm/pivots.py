@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sample import least_hashed
 from .scratch import Scratch
 from .vectors import best_of, in_groups, matrix, query_blocks, union_all, valid_vectors
 
@@ -99,10 +100,10 @@ def top_inner_products(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     scratch = Scratch(spark, "pivots")
     rows = valid_vectors(df, id_col, vector_col).select("vec_id", F.transform("v", lambda x: F.floor(x * p.scale).cast("double")).alias("v"))
     rows = scratch.write(rows, "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("v").collect()
+    sample = least_hashed(rows, ["vec_id"], "v", p.sample)
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pivots = choose_pivots(np.array([r.v for r in sample], float), p.pivots)
+    pivots = choose_pivots(np.array(sample, float), p.pivots)
     measured = scratch.write(rows.mapInArrow(_measure(pivots), "vec_id long, v array<double>, table array<double>"), "table")
     parts = []
     for ids, queries in query_blocks(rows, every, p.block):
