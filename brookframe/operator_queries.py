@@ -86,7 +86,7 @@ def doc_types(t: Tables) -> DataFrame:
 def doc_objects(t: Tables) -> DataFrame:
     one = F.struct(F.floor("c_acctbal").cast("string").alias("bal"), F.col("c_nationkey").cast("string").alias("nation"))
     pairs = F.array_join(fn.map(fn.object_to_array("$o", ["bal", "nation"]), lambda e: F.concat(e["k"], F.lit(":"), e["v"])), ",")
-    rounded = F.struct(F.round("c_acctbal").cast("long").cast("string").alias("bal"), F.col("c_nationkey").cast("string").alias("nation"))
+    rounded = F.struct(F.bround("c_acctbal").cast("long").cast("string").alias("bal"), F.col("c_nationkey").cast("string").alias("nation"))
     spec = {"pairs": pairs, "let": fn.let({"n": fn.multiply("$c_nationkey", 10)}, lambda n: n + 1), "own": fn.get_field(F.struct("c_nationkey"), "c_nationkey"), "changed": fn.get_field(fn.set_field(F.struct("c_nationkey"), "c_nationkey", fn.add("$c_nationkey", 1)), "c_nationkey")}
     spec |= {"won": fn.merge_objects((one, ["bal", "nation"]), (F.struct(F.lit("x").alias("bal")), ["bal"]))["bal"], "from_map": fn.array_to_object(F.array(F.struct(F.lit("k").alias("k"), F.col("c_nationkey").alias("v"))))["k"].cast("long")}
     return t.docs("customer").add_fields(o=rounded).project({"c_custkey": 1} | spec).build()
