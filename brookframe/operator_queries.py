@@ -18,6 +18,16 @@ def joined(c: Column) -> Column:
     return F.array_join(c.cast("array<string>"), ",", "null")
 
 
+def shown(c: Column) -> Column:
+    """The same, and null for an empty array, as a filtered list in the SQL is."""
+    return F.when(F.array_size(c) > 0, joined(c))
+
+
+def nearest(c: Column, digits: int) -> Column:
+    """A double, not negative, rounded by its own value; round() goes by its shortest decimal form, which moves ties."""
+    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
+
+
 # expressions
 
 
@@ -105,8 +115,8 @@ def acc_grouped(t: Tables) -> DataFrame:
     fields |= dict(f2=acc.first_n("$o_orderkey", 2), l2=acc.last_n("$o_orderkey", 2), hi2=acc.max_n("$x", 2), lo2=acc.min_n("$x", 2), top=acc.top({"o_orderpriority": -1, "o_orderkey": 1}, "$o_orderkey"), bottom=acc.bottom({"o_orderdate": 1, "o_orderkey": 1}, "$o_orderkey"))
     fields |= dict(top2=acc.top_n(2, {"o_orderdate": -1, "o_orderkey": 1}, "$o_orderkey"), bottom2=acc.bottom_n(2, {"o_orderpriority": -1, "o_orderkey": 1}, "$o_orderkey"))
     df = t.docs("orders").add_fields(x=x).sort({"o_orderkey": 1}).group("$o_custkey", **fields).build()
-    rounded = {"total": F.round("total", 2), "mean": F.round("mean", 4), "sp": F.round("sp", 3), "ss": F.round("ss", 3)}
-    return df.withColumns(rounded | {c: joined(F.col(c)) for c in ("pushed", "kinds", "f2", "l2", "hi2", "lo2", "top2", "bottom2")})
+    rounded = {"total": F.round("total", 2), "mean": nearest(F.col("mean"), 4), "sp": F.round("sp", 3), "ss": F.round("ss", 3)}
+    return df.withColumns(rounded | {c: joined(F.col(c)) for c in ("pushed", "kinds", "f2", "l2", "top2", "bottom2")} | {c: shown(F.col(c)) for c in ("hi2", "lo2")})
 
 
 @query("""WITH e AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS x FROM events)
@@ -274,7 +284,7 @@ def orm_include_distinct(t: Tables) -> DataFrame:
 @query("""SELECT c_custkey, (SELECT round(avg(o_totalprice), 2) FROM orders WHERE o_custkey = c_custkey) AS mean, (SELECT round(sum(o_totalprice), 2) FROM orders WHERE o_custkey = c_custkey) AS total, (SELECT min(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS low FROM customer""")
 def orm_include_scalars(t: Tables) -> DataFrame:
     rows = database(t).collection("Customer").select("c_custkey").include("orders", lambda o: o.combine(mean=o.avg("o_totalprice"), total=o.sum("o_totalprice"), low=o.min("o_totalprice"))).all()
-    return rows.select("c_custkey", F.round("orders.mean", 2).alias("mean"), F.round("orders.total", 2).alias("total"), "orders.low")
+    return rows.select("c_custkey", nearest(F.col("orders.mean"), 2).alias("mean"), F.round("orders.total", 2).alias("total"), "orders.low")
 
 
 # geometry and text
