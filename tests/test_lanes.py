@@ -313,3 +313,9 @@ def test_find_one_commands(spark, db):
     assert was.rows.first().name == "Diana" and was.table.where("name = 'Q'").first().id == 4
     gone = mutate.find_one_and_delete(users, F.col("id") > 100, ["id"])
     assert gone.rows.count() == 0 and gone.table.count() == 4
+
+
+def test_extremes_of_nothing_are_empty_lists(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (2, 5)], "k int, x int")
+    rows = {r["_id"]: r for r in Pipeline(df).group("$k", hi=acc.max_n("$x", 2), lo=acc.min_n("$x", 2)).build().collect()}
+    assert (rows[1].hi, rows[1].lo, rows[2].hi, rows[2].lo) == ([], [], [5], [5])
